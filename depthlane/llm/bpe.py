@@ -55,7 +55,8 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
         self.words = regex.compile(pattern, regex.V1)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.known: dict[str, tuple[int, str, str]] = {}
         self.size = max(self.tokens) + 1
         self.own: dict[int, bool] = {}  # is a token what merging makes of its symbols
         self.pairs, self.verdicts = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -64,12 +65,16 @@ class WordBpe:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact merging: the pair of least rank first, the leftmost of equals."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            rank, k = min((self.ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(symbols, symbols[1:])))
-            if rank == 1 << 60:
-                break
+        symbols, of, none = list(symbols), self.ranks.get, 1 << 60
+        ranks = [of(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = of((symbols[k - 1], symbols[k]), none)
+            if k < len(ranks):
+                ranks[k] = of((symbols[k], symbols[k + 1]), none)
         return symbols
 
     def split(self, token: str) -> list[str]:
@@ -119,9 +124,9 @@ class WordBpe:
             if len(new):
                 if len(self.pairs) + len(new) > 1 << 20:
                     self.pairs, self.verdicts, new = np.zeros(0, np.int64), np.zeros(0, bool), np.unique(codes)
-                pairs, verdicts = np.concatenate([self.pairs, new]), np.concatenate([self.verdicts, [self._fits(int(c)) for c in new]])
-                order = np.argsort(pairs)
-                self.pairs, self.verdicts = pairs[order], verdicts[order].astype(bool)
+                at = np.searchsorted(self.pairs, new)
+                self.verdicts = np.insert(self.verdicts, at, [self._fits(int(c)) for c in new])
+                self.pairs = np.insert(self.pairs, at, new)
             if len(codes):
                 good[owners[~self.verdicts[np.searchsorted(self.pairs, codes)]]] = False
         self.tried += len(words)
@@ -136,7 +141,8 @@ class WordBpe:
         return out
 
     def normalise(self, text: str) -> str:
-        return "".join(map(str.lower, unicodedata.normalize("NFC", text)))  # by character: no final-sigma rule
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # by character: no final-sigma rule
 
     def pieces(self, segment: str) -> list[str | int]:
         """Words in byte symbols, and ids of added tokens, of a text without spaces that matter."""
@@ -146,17 +152,20 @@ class WordBpe:
                 out.append(self.added[part])
             elif part:
                 for word in self.words.findall(self.normalise(part)):
-                    out.append("".join(self.symbols[b] for b in word.encode("utf-8", "surrogatepass")))
+                    out.append(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols))
         return out
 
     def learn(self, segments: list[str]) -> None:
         """Put the results of new segments into the cache: token count, decimal ids and decoded text."""
         parts = [self.pieces(s) for s in segments]
-        words = list(dict.fromkeys(p for ps in parts for p in ps if isinstance(p, str)))
-        known = dict(zip(words, self.encode_words(words)))
+        new = list({p for ps in parts for p in ps if isinstance(p, str) and p not in self.known})
+        for word, ids in zip(new, self.encode_words(new)):
+            self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
         for segment, ps in zip(segments, parts):
-            ids = [i for p in ps for i in (known[p] if isinstance(p, str) else [p])]
-            self.cache[segment] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
+            found = [self.known[p] if isinstance(p, str) else (1, str(p), self.tokens[p]) for p in ps]
+            self.cache[segment] = found[0] if len(found) == 1 else (sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, decimal ids joined by spaces, decoded text) of each text."""
@@ -182,8 +191,8 @@ def _digests(path: str):
     def run(frames):
         bpe = model(path)
         for frame in frames:
-            for a in range(0, len(frame), 64):
-                part = frame.iloc[a : a + 64]
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
                 found = bpe.encode_batch([t if isinstance(t, str) else "" for t in part["text"]])
                 sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": [x[0] for x in found], "ids_sha256": [sha(x[1]) for x in found], "decoded_sha256": [sha(x[2]) for x in found]})
