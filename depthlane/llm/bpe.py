@@ -13,6 +13,7 @@ Null texts count as empty. An empty table gives no rows. Other columns are ignor
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space as Unicode defines it: fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -51,7 +52,10 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # the longest token that starts with these two symbols
+        for token in self.vocab:
+            n = len(token.removesuffix(self.end))
+            self.reach[token[:2]] = max(self.reach.get(token[:2], 1), n)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
         self.words = regex.compile(pattern, regex.V1)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -66,6 +70,8 @@ class WordBpe:
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact merging: the pair of least rank first, the leftmost of equals."""
         symbols, of, none = list(symbols), self.ranks.get, 1 << 60
+        if len(symbols) > 200:
+            return self._merge_long(symbols)
         ranks = [of(p, none) for p in zip(symbols, symbols[1:])]
         while ranks and (least := min(ranks)) < none:
             k = ranks.index(least)
@@ -77,6 +83,25 @@ class WordBpe:
                 ranks[k] = of((symbols[k], symbols[k + 1]), none)
         return symbols
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same by a heap over a linked list, for words whose length would make scans costly."""
+        after, before, of = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)], self.ranks.get
+        heap = [(r, k, p) for k, p in enumerate(zip(symbols, symbols[1:])) if (r := of(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, pair = heapq.heappop(heap)
+            j = after[k]
+            if j < 0 or (symbols[k], symbols[j]) != pair:
+                continue
+            symbols[k], symbols[j], after[k] = symbols[k] + symbols[j], "", after[j]
+            if after[j] >= 0:
+                before[after[j]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b >= 0 and (r := of((symbols[a], symbols[b]))) is not None:
+                    heapq.heappush(heap, (r, a, (symbols[a], symbols[b])))
+            after[j] = -1
+        return [x for x in symbols if x]
+
     def split(self, token: str) -> list[str]:
         """The symbols a token starts from: characters, the word end joined to the last."""
         if token.endswith(self.end):
@@ -88,7 +113,7 @@ class WordBpe:
         """Longest match first; None where a symbol is not in the vocabulary or the word end would be cut."""
         full, at, n, out = word + self.end, 0, len(word), []
         while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
+            for stop in range(min(n, at + self.reach.get(word[at : at + 2], 1)), at, -1):
                 token = full[at:] if stop == n else full[at:stop]
                 if (i := self.vocab.get(token)) is not None:
                     out.append(i)
