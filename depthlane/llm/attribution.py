@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .rows import key, source
 from .tokens import SegmentSpans
 
 SCHEMA = "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long"
@@ -63,7 +64,7 @@ def _attribute(path: str, rule: str):
                     starts, ends = cache.spans(text)
                     counts, crossing = allocate(starts, ends, bounds, rule)
                     n = len(counts)
-                    for column, values in zip(columns, ([None if pd.isna(doc_id) else int(doc_id)] * n, range(n), bounds[:-1], bounds[1:], counts, crossing, [len(starts)] * n)):
+                    for column, values in zip(columns, ([key(doc_id)] * n, range(n), bounds[:-1], bounds[1:], counts, crossing, [len(starts)] * n)):
                         column.extend(values)
                 yield pd.DataFrame(dict(zip([x.split()[0] for x in SCHEMA.split(", ")], columns))).astype({"doc_id": "Int64"})
 
@@ -75,4 +76,4 @@ def attribute(documents: DataFrame, json_path: str, rule: str = "most") -> DataF
     if rule not in ("most", "first", "last", "split"):
         raise ValueError(f"unknown rule {rule!r}")
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_attribute(json_path, rule), SCHEMA)
+    return source(documents).mapInPandas(_attribute(json_path, rule), SCHEMA)

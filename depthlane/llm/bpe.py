@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .rows import keys, source
 
 CACHE_ENTRIES = 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -220,14 +221,14 @@ def _digests(path: str):
                 part = frame.iloc[a : a + 256]
                 found = bpe.encode_batch([t if isinstance(t, str) else "" for t in part["text"]])
                 sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": [x[0] for x in found], "ids_sha256": [sha(x[1]) for x in found], "decoded_sha256": [sha(x[2]) for x in found]})
+                yield pd.DataFrame({"doc_id": keys(part["doc_id"]), "n_tokens": [x[0] for x in found], "ids_sha256": [sha(x[1]) for x in found], "decoded_sha256": [sha(x[2]) for x in found]})
 
     return run
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_digests(path), SCHEMA)
+    return source(documents).mapInPandas(_digests(path), SCHEMA)
 
 
 def _encoded(path: str):
@@ -235,7 +236,7 @@ def _encoded(path: str):
         bpe = model(path)
         for frame in frames:
             found = bpe.encode_batch([t if isinstance(t, str) else "" for t in frame["text"]])
-            yield frame.assign(token_ids=[[int(i) for i in x[1].split()] for x in found], decoded=[x[2] for x in found])
+            yield frame.assign(doc_id=keys(frame["doc_id"]), token_ids=[[int(i) for i in x[1].split()] for x in found], decoded=[x[2] for x in found])
 
     return run
 
@@ -243,4 +244,4 @@ def _encoded(path: str):
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, text, token_ids, decoded: the general interface."""
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_encoded(path), "doc_id long, text string, token_ids array<int>, decoded string")
+    return source(documents).mapInPandas(_encoded(path), "doc_id long, text string, token_ids array<int>, decoded string")

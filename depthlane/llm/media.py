@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .rows import key, source
 
 WIDTH = 64
 
@@ -159,7 +160,7 @@ def _text_media(frames):
             image = decode(stored)
             payload = image.tobytes()
             tile = npy_tile(image, 16)
-            rows.append((None if pd.isna(doc_id) else int(doc_id), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored),
+            rows.append((key(doc_id), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored),
                          hashlib.sha256(stored).hexdigest(), difference_hash(image), len(tile), hashlib.sha256(tile).hexdigest()))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in TEXT_MEDIA.split(", ")]).astype({"doc_id": "Int64"})
 
@@ -169,4 +170,4 @@ TEXT_MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 stri
 
 def text_media(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_text_media, TEXT_MEDIA)
+    return source(documents).mapInPandas(_text_media, TEXT_MEDIA)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, ship
+from .rows import key, source
 from .tokens import SegmentIds
 
 SEQUENCE, GRAIN, END_ID, BUCKETS, KEPT_BUCKETS, AXIS = 2048, 16, 1, 128, 8, 4096
@@ -130,7 +131,7 @@ def _encode(json_path: str, ranks_path: str | None, end_id: int, length: int, gr
                 rem = n % length
                 tail = view[4 * (n - rem) :]
                 cls = -(-rem // grain)
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                doc_id = key(doc_id)
                 bucket = zlib.crc32(str(doc_id).encode()) % BUCKETS
                 rows.append((pid, doc_id, n, crcs, rem, zlib.crc32(tail), cls, chunks, bucket, at[bucket], bytes(tail) if bucket < kept else None))
                 chunks += len(crcs)
@@ -191,8 +192,7 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, *,
     width, kept = sequence_length // grain, KEPT_BUCKETS
 
     def encoded(kept: int) -> DataFrame:
-        source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        return materialise(source.mapInPandas(_encode(json_path, ranks_path, end_id, sequence_length, grain, kept), _ENCODED), "packing-ids")
+        return materialise(source(documents).mapInPandas(_encode(json_path, ranks_path, end_id, sequence_length, grain, kept), _ENCODED), "packing-ids")
 
     rows = encoded(kept)
     # at most BUCKETS x width rows reach the driver, however many documents there are

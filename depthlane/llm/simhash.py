@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, ship
+from .rows import keys, source
 
 LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK = 3, 3, 42, 512, 8192, 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,7 +49,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(frames):
     for frame in frames:
         found = np.array([fingerprint(t if isinstance(t, str) else None) for t in frame["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": found.view(np.int64)})
+        yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "fp": found.view(np.int64)})
 
 
 class Forest:
@@ -211,11 +212,22 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def deduplicate(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     ship(documents.sparkSession)
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = materialise(source.mapInPandas(_fingerprints, "doc_id long, fp long"), "simhash")
+    docs = materialise(source(documents).mapInPandas(_fingerprints, "doc_id long, fp long"), "simhash")
     distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     roots = components(links(distinct.select("fp")))
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, that stay: one for each component, of the least doc_id.
+
+    Repeated rows with that doc_id leave one, the least by a hash of their text.
+    """
+    columns = documents.columns
+    least = deduplicate(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_s_id")).distinct()
+    kept = documents.join(least, F.col("doc_id").cast("long") == F.col("_s_id"), "left_semi")
+    order = F.struct(F.xxhash64(F.col("text").cast("string")), F.struct(*columns))
+    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_s_row")).select("_s_row.*")

@@ -21,10 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .rows import key, keys, source
 
 EXAMPLES, LONGEST_EXAMPLE, FEATURES, LEAST_CHI, NEIGHBOURS, BLOCK, THRESHOLD, CACHE = 2000, 20_000, 4096, 20.0, 15, 64, 0.7, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -195,10 +197,10 @@ def _score(model):
         own = model.value
         for frame in frames:
             found = [own.score(t if isinstance(t, str) else "") for t in frame["text"]]
-            keys = [None if pd.isna(i) else int(i) for i in frame["doc_id"]]
+            own_keys = [key(i) for i in frame["doc_id"]]
             score = np.clip([s for s, _, _ in found], 0, 1)
             yield pd.DataFrame({
-                "doc_id": pd.array(keys, dtype="Int64"), "held_out": [zlib.crc32(str(i).encode()) % 3 == 1 if i is not None else False for i in keys],
+                "doc_id": keys(frame["doc_id"]), "held_out": [zlib.crc32(str(i).encode()) % 3 == 1 if i is not None else False for i in own_keys],
                 "score": score, "predicted": (score >= THRESHOLD).astype(np.int32), "evidence": [d for _, d, _ in found], "cosines": [c for _, _, c in found],
             })
 
@@ -209,15 +211,14 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, and the neighbours that voted with their cosines."""
     spark = documents.sparkSession
     ship(spark)
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInPandas(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
+    return source(documents).mapInPandas(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
 
 
 def _keep(model):
     def run(frames):
         own = model.value
-        for frame in frames:
-            yield frame[[own.score(t if isinstance(t, str) else "")[0] < THRESHOLD for t in frame["text"]]]
+        for batch in frames:
+            yield batch.filter(pa.array([own.score(t or "")[0] < THRESHOLD for t in batch["text"].to_pylist()], pa.bool_()))
 
     return run
 
@@ -226,4 +227,4 @@ def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of documents, all columns, whose score is below the threshold."""
     spark = documents.sparkSession
     ship(spark)
-    return documents.mapInPandas(_keep(spark.sparkContext.broadcast(model)), documents.schema)
+    return documents.mapInArrow(_keep(spark.sparkContext.broadcast(model)), documents.schema)
