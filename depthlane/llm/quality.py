@@ -28,7 +28,7 @@ def _base(df: DataFrame) -> DataFrame:
     df = df.withColumn("_q_lines", F.expr(f"filter(split(_q_t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     df = df.withColumns({
         "n_words": F.size("_q_words").cast("long"),
-        "word_chars": F.expr("cast(char_length(translate(_q_t, ' \\t\\n\\u000B\\f\\r', '')) as bigint)"),
+        "word_chars": F.expr("cast(char_length(translate(_q_t, ' \\t\\n\\u000B\\u000C\\r', '')) as bigint)"),
         "n_symbols": F.expr("cast(char_length(_q_t) - char_length(translate(_q_t, '#*$%&|<>', '')) as bigint)"),
         "n_dup_lines": F.expr("cast(size(_q_lines) - size(array_distinct(_q_lines)) as bigint)"),
         "_q_hashes": F.expr("case when size(_q_words) >= 3 then transform(sequence(0, size(_q_words) - 3), i -> xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2])) else cast(array() as array<bigint>) end"),

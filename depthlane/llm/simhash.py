@@ -224,10 +224,12 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 def representatives(documents: DataFrame) -> DataFrame:
     """The rows of documents, all columns, that stay: one for each component, of the least doc_id.
 
-    Repeated rows with that doc_id leave one, the least by a hash of their text.
+    Repeated rows with that doc_id leave one, the least by a hash of their text. Rows without a doc_id all stay: no
+    decision can name them.
     """
     columns = documents.columns
     least = deduplicate(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_s_id")).distinct()
     kept = documents.join(least, F.col("doc_id").cast("long") == F.col("_s_id"), "left_semi")
     order = F.struct(F.xxhash64(F.col("text").cast("string")), F.struct(*columns))
-    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_s_row")).select("_s_row.*")
+    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_s_row")).select("_s_row.*")
+    return kept.unionByName(documents.where("doc_id is null"))
