@@ -207,9 +207,9 @@ nn AS (SELECT frame_id, x, y, CAST(ry * dz - rz * dy AS DOUBLE) AS nx, CAST(rz *
 nu AS (SELECT frame_id, x, y, nx / sqrt(nx * nx + ny * ny + nz * nz) AS nx, ny / sqrt(nx * nx + ny * ny + nz * nz) AS ny, nz / sqrt(nx * nx + ny * ny + nz * nz) AS nz FROM nn WHERE sqrt(nx * nx + ny * ny + nz * nz) > 1e-12)"""
 
 
-@query("surface_normals", f"{_NORMAL} SELECT frame_id, x, y, round(nx, 5) AS nx, round(ny, 5) AS ny, round(nz, 5) AS nz FROM nu")
+@query("surface_normals", f"{_NORMAL} SELECT frame_id, x, y, round(nx, 5) + 0.0 AS nx, round(ny, 5) + 0.0 AS ny, round(nz, 5) + 0.0 AS nz FROM nu")
 def _(spark, sf_dir):
-    return R.normals(X.pixels(spark, sf_dir), "filtered_units").select("frame_id", "x", "y", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+    return R.normals(X.pixels(spark, sf_dir), "filtered_units").select("frame_id", "x", "y", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
 
 
 @query("plane_classes", f"""{_NORMAL} SELECT frame_id, CASE WHEN abs(round(ny, 9)) >= 0.65 THEN 'horizontal' ELSE 'vertical' END AS plane, count(*) AS pixels FROM nu GROUP BY 1, 2""")

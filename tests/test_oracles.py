@@ -22,7 +22,7 @@ def rows(frame, columns):
     def plain(v):
         if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "<NA>":
             return -1e99
-        return str(v) if isinstance(v, (str, bool)) or type(v).__name__ == "bool_" else round(float(v), 6)
+        return str(v) if isinstance(v, (str, bool)) or type(v).__name__ == "bool_" else round(float(v), 6) + 0.0
 
     return sorted((tuple(map(plain, r)) for r in frame[columns].itertuples(index=False)), key=str)
 
