@@ -34,6 +34,7 @@ DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNFINISHED = re.compile(r"<[/a-zA-Z!?][^>]*\Z")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -60,7 +61,7 @@ def parse(page: str) -> Node:
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
-            here.children.append(page[at:])
+            here.children.append(_UNFINISHED.sub("", page[at:]))
             break
         if m.start() > at:
             here.children.append(page[at : m.start()])
