@@ -51,9 +51,9 @@ def allocate(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str
     return counts, crossing
 
 
-def _attribute(path: str, rule: str):
+def _attribute(path: str, ranks_path: str | None, rule: str):
     def run(frames):
-        cache = _caches.setdefault(path, SegmentSpans(path))
+        cache = _caches.setdefault(path, SegmentSpans(path, ranks_path))
         for frame in frames:
             for a in range(0, len(frame), 256):
                 columns: list[list] = [[] for _ in range(7)]
@@ -71,9 +71,9 @@ def _attribute(path: str, rule: str):
     return run
 
 
-def attribute(documents: DataFrame, json_path: str, rule: str = "most") -> DataFrame:
+def attribute(documents: DataFrame, json_path: str, rule: str = "most", ranks_path: str | None = None) -> DataFrame:
     """One row per section: its span, the tokens allocated to it, and the document's tokens."""
     if rule not in ("most", "first", "last", "split"):
         raise ValueError(f"unknown rule {rule!r}")
     ship(documents.sparkSession)
-    return source(documents).mapInPandas(_attribute(json_path, rule), SCHEMA)
+    return source(documents).mapInPandas(_attribute(json_path, ranks_path, rule), SCHEMA)

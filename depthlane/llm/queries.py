@@ -31,7 +31,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return attribution.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 
@@ -40,6 +42,12 @@ def _ranked(path: str):
     return tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _sized(path: str):
+    encoding = _ranked(path)
+    return encoding, [len(encoding.decode_single_token_bytes(i)) for i in range(encoding.n_vocab)]
+
+
 class SegmentIds(dict):
     """Segment text -> its ids as little-endian unsigned 32-bit numbers."""
 
@@ -70,17 +78,30 @@ class SegmentIds(dict):
 class SegmentSpans(dict):
     """Segment text -> (starts, ends) of its tokens in characters, as little-endian 32-bit numbers."""
 
-    def __init__(self, json_path: str):
+    def __init__(self, json_path: str, ranks_path: str | None = None):
         super().__init__()
-        self.json_path = json_path
+        self.json_path, self.ranks_path = json_path, ranks_path
+
+    def _ranked(self, segment: str) -> tuple[bytes, bytes]:
+        """From the byte lengths of the tokens: a token spans every character that it holds a byte of."""
+        encoding, sizes = _sized(self.ranks_path)
+        ends = list(accumulate([sizes[i] for i in encoding.encode_ordinary(segment)]))
+        starts = [0, *ends[:-1]]
+        if not segment.isascii():
+            place = [k for k, c in enumerate(segment) for _ in c.encode("utf-8", "surrogatepass")]
+            starts, ends = [place[a] for a in starts], [place[b - 1] + 1 for b in ends]
+        return array("i", starts).tobytes(), array("i", ends).tobytes()
 
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.asarray(tokenizer(self.json_path).encode(text, add_special_tokens=False).offsets, dtype=np.int64)
         return (offsets[:, 0], offsets[:, 1]) if len(offsets) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def __missing__(self, segment: str):
-        starts, ends = self.whole(segment)
-        out = (starts.astype("<i4").tobytes(), ends.astype("<i4").tobytes())
+        if self.ranks_path:
+            out = self._ranked(segment)
+        else:
+            starts, ends = self.whole(segment)
+            out = (starts.astype("<i4").tobytes(), ends.astype("<i4").tobytes())
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[segment] = out

@@ -45,12 +45,13 @@ def ids_of(text):
 
 
 def test_segment_cache_is_exact():
-    whole, ids, spans = Tokenizer.from_file(BYTE), SegmentIds(BYTE, RANKS), SegmentSpans(BYTE)
+    whole, ids, spans = Tokenizer.from_file(BYTE), SegmentIds(BYTE, RANKS), (SegmentSpans(BYTE), SegmentSpans(BYTE, RANKS))
     for t in [x for x in TEXTS if x is not None] + ["a   b", " .\n'll", "a\x1c b", "a\x85 b"]:
         e = whole.encode(t, add_special_tokens=False)
         assert np.frombuffer(ids.encode(t), "<u4").tolist() == e.ids
-        a, b = spans.spans(t)
-        assert list(zip(a.tolist(), b.tolist())) == e.offsets
+        for own in spans:
+            a, b = own.spans(t)
+            assert list(zip(a.tolist(), b.tolist())) == e.offsets
 
 
 def test_patterns_cover_demand_and_fit():
