@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import pandas as pd
@@ -67,7 +68,7 @@ _PATTERNS = [
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of entities, in order, not overlapping; of two that overlap the one listed first in _PATTERNS."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, not overlapping
     for kind, pattern in _PATTERNS:
         for m in pattern.finditer(text):
             a, b = m.span(1) if kind in ("secret",) and m.re.groups else m.span(1) if kind.startswith("name") else m.span()
@@ -81,9 +82,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 if not good:
                     continue
                 b = a + good[-1].end()
-            if all(b <= x or a >= y for x, y in taken):
+            at = bisect_left(taken, (a, b))
+            if (at == len(taken) or b <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= a):
                 found.append((a, b, kind))
-                taken.append((a, b))
+                insort(taken, (a, b))
     return sorted(found)
 
 
@@ -156,12 +158,16 @@ def _name(secret: bytes, kind: str, value: str) -> str:
     for n, word in enumerate(value.split(" ")):
         script = "cyrillic" if word[0].lower() in ALPHABETS["cyrillic"] else "latin"
         genders = [kind[-1]] if kind in ("name_f", "name_m") else ["f", "m"]
-        names = next((GIVEN[g, script] for g in genders if n == 0 and word.capitalize() in GIVEN[g, script]), None)
+        lists = [GIVEN[g, script] for g in genders] if n == 0 else []
+        names = next((own for own in lists if word.capitalize() in own), None)
         if names:
             new = names[Permutation(secret, f"given:{script}:{names[0]}", len(names))(names.index(word.capitalize()))]
             out.append(new.upper() if word.isupper() else new)
         else:
-            out.append(_permuted(secret, "name", word))
+            new = _permuted(secret, "name", word)
+            while new != word and any(new.capitalize() in own for own in lists):  # those are surrogates of listed names
+                new = _permuted(secret, "name", new)
+            out.append(new)
     return " ".join(out)
 
 

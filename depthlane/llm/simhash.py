@@ -1,7 +1,8 @@
 """Near-duplicates by SimHash fingerprints and vantage-point trees.
 
 Two 64-bit fingerprints that differ in 3 bits or fewer differ in at most 1 bit in one of their two 32-bit halves. For each
-half a vantage-point tree is fitted on a bounded sample of fingerprints: a node sends those within its radius of the
+half a vantage-point tree is fitted on a bounded sample of fingerprints (about SAMPLED for each of at most MOST_LEAVES
+leaves, twice that at most; it shapes the trees only, every fingerprint is indexed): a node sends those within its radius of the
 vantage value to the left, the others to the right. Every distinct fingerprint is stored in one leaf of each tree and
 queries all leaves that its ball of radius 1 reaches; the triangle bound rules out the rest. Leaves are shards: a task
 holds one block of a shard's stored fingerprints and one block of its queries, both of bounded size, compares them exactly
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialise, ship
 from .rows import keys, source
 
-LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK = 3, 3, 42, 512, 8192, 2048
+LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK, SAMPLED = 3, 3, 42, 512, 65_536, 2048, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -171,8 +172,11 @@ def _links(frame: pd.DataFrame) -> pd.DataFrame:
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints that connect all that differ in LINK_BITS bits or fewer."""
     n = distinct.count()
-    leaves = 1 << max(0, min(MOST_LEAVES, n // LEAF)).bit_length()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(8 * leaves).toPandas()["fp"].to_numpy().view(np.uint64)
+    leaves = min(MOST_LEAVES, 1 << (n // LEAF).bit_length())
+    # about SAMPLED fingerprints a leaf by a threshold on their hash, without a sort; the limit makes the bound hard
+    share = F.lit(int((1 << 40) * min(1, SAMPLED * leaves / max(1, n))))
+    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < share).limit(2 * SAMPLED * leaves).toPandas()["fp"].to_numpy().view(np.uint64)
+    sample.sort()  # the trees depend on the sample alone, not on the order that it arrives in
     forest = Forest(sample, leaves)
     # one row for each leaf: their number is bounded by MOST_LEAVES
     load = distinct.mapInPandas(_loads(forest), "tree int, leaf long, stored long, asked long").groupBy("tree", "leaf").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked")).toPandas()

@@ -384,6 +384,13 @@ def test_pii_surrogates():
     assert pii.redact_text(clean, key) == (clean, [])
 
 
+def test_pii_names_outside_the_list_never_become_listed_ones():
+    listed = {n for own in pii.GIVEN.values() for n in own}
+    for n in range(3000):
+        word = "Zq" + chr(97 + n % 26) + chr(97 + n // 26 % 26)
+        assert pii.surrogate(b"k", "name", word) not in listed
+
+
 def test_pii_is_a_permutation_without_fixed_points():
     for size in (2, 3, 10, 1000, 4097):
         p = pii.Permutation(b"k", "t", size)
