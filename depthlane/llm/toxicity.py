@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .rows import key, keys, source
 
-EXAMPLES, LONGEST_EXAMPLE, FEATURES, LEAST_CHI, NEIGHBOURS, BLOCK, THRESHOLD, CACHE = 2000, 20_000, 4096, 20.0, 15, 64, 0.7, 400_000
+EXAMPLES, LONGEST_EXAMPLE, FEATURES, LEAST_CHI, NEIGHBOURS, BLOCK, THRESHOLD, CACHE, SCORED = 2000, 20_000, 4096, 20.0, 15, 64, 0.7, 400_000, 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,22 +49,27 @@ class Model:
     doc_id: np.ndarray
     base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-    words: dict = field(default_factory=dict)
+    hits: dict[str, list[int]] = field(default_factory=dict)  # word -> its selected features, of words that have some
+    seen: set[str] = field(default_factory=set)
+    scored: dict = field(default_factory=dict)  # vector -> its score and evidence
 
     def __getstate__(self):
-        return self.__dict__ | {"words": {}}
+        return self.__dict__ | {"hits": {}, "seen": set(), "scored": {}}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Selected features of a whole text and their weights, of length 1 together."""
         found: Counter = Counter()
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            own = self.words.get(word)
-            if own is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                own = self.words[word] = [i for f in features_of(word) if (i := self.feature.get(f)) is not None]
-            for i in own:
-                found[i] += n
+        words = Counter(_WORD.findall(text.lower()))
+        if len(self.seen) >= CACHE:
+            self.seen.clear(), self.hits.clear()
+        new = words.keys() - self.seen
+        self.seen |= new
+        for word in new:
+            if own := [i for f in features_of(word) if (i := self.feature.get(f)) is not None]:
+                self.hits[word] = own
+        for word in words.keys() & self.hits.keys():
+            for i in self.hits[word]:
+                found[i] += words[word]
         ids = np.array(sorted(found), dtype=np.int64)
         weights = (1 + np.log([found[i] for i in ids])) * self.idf[ids] if len(ids) else np.zeros(0)
         return ids, weights / np.sqrt((weights**2).sum()) if len(ids) else weights
@@ -102,8 +107,14 @@ class Model:
         ids, weights = self.vector(text)
         if not len(ids):
             return self.base, [], []
-        vote, best, cosines = self.vote(ids, weights)
-        return float(np.interp(vote, *self.steps)), self.doc_id[best].tolist(), cosines.tolist()
+        place = (ids.tobytes(), weights.tobytes())
+        out = self.scored.get(place)
+        if out is None:
+            vote, best, cosines = self.vote(ids, weights)
+            if len(self.scored) >= SCORED:
+                self.scored.clear()
+            out = self.scored[place] = (float(np.interp(vote, *self.steps)), self.doc_id[best].tolist(), cosines.tolist())
+        return out
 
 
 def _pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
