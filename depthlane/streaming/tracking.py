@@ -14,10 +14,12 @@ from ..config import Config
 from ..operators.tracks import EMITTED, State, Track, emitted, frames_of, step
 
 
-def track_stream(candidates: DataFrame, config: Config, idle_ms: int = 3_600_000) -> DataFrame:
+def track_stream(candidates: DataFrame, config: Config, idle_ms: int | None = None) -> DataFrame:
     """Emitted tracks per camera and frame. A frame must arrive within one micro-batch; frames that come late are dropped.
 
-    State holds living tracks only (they expire by misses), and a camera that is idle for idle_ms is forgotten.
+    State holds living tracks only (they expire by misses), one row for each camera. With idle_ms a camera that is idle for
+    so long is forgotten; Spark then runs batches without input all the time to look for timeouts, so give such a query a
+    trigger interval.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,7 +36,9 @@ def track_stream(candidates: DataFrame, config: Config, idle_ms: int = 3_600_000
         for frame, own in frames_of(pd.concat(list(batches))):
             out += emitted(key[0], frame, step(state, frame, own, config))
         held.update((json.dumps([asdict(t) for t in state.tracks]), state.next_id, state.last_frame))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return candidates.groupBy("camera_id").applyInPandasWithState(run, EMITTED, "tracks string, next_id long, last_frame long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return candidates.groupBy("camera_id").applyInPandasWithState(run, EMITTED, "tracks string, next_id long, last_frame long", "append", timeout)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 
@@ -71,6 +73,24 @@ def test_stream_equals_batch_whatever_the_split(spark, tmp_path):
     assert len(batch) and streamed.astype(int).equals(batch.sort_values(key).reset_index(drop=True).astype(int))
 
 
+def test_idle_cameras_are_forgotten(spark, tmp_path):
+    from depthlane.runtime import ship
+
+    ship(spark)
+    schema = "camera_id long, frame_index long, observation_id long, roi_x0 long, roi_y0 long, roi_x1 long, roi_y1 long, area long, depth_mm long"
+    spark.createDataFrame(rows(), schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = track_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), Config(track_miss=2), idle_ms=1)
+    q = stream.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    held = []
+    for _ in range(60):
+        time.sleep(0.5)
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        if 2 in held and held[-1] == 0:
+            break
+    q.stop()
+    assert 2 in held and held[-1] == 0
+
+
 def test_metrics_csv_and_names(spark, tmp_path):
     assert len(METRICS) == 32
     write_metrics(spark.createDataFrame([(1, 2)], "frame_index long, candidate_count long"), str(tmp_path / "m"))
