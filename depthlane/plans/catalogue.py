@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import scalars as S
 from ..operators import calibration as C
+from ..operators import frames as N
 from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import tracks as T
@@ -363,6 +364,53 @@ def _(spark, sf_dir):
     return o.select("track_id", "frame_index", *[F.col(f"b.{k}").alias(f"e{k}") for k in ("x0", "y0", "x1", "y1")], S.shoelace("polygon").alias("polygon_area"), S.palette("track_id").alias("colour"))
 
 
+_TICKS = f"""WITH {F1_SQL}, t AS (SELECT frame_id % 4 AS camera_id, frame_id AS tick, CAST(sum(filtered_units) AS BIGINT) AS units, round(avg(cue), 9) AS gray FROM f1 GROUP BY 1, 2),
+sy AS (SELECT c.camera_id, c.tick, row_number() OVER (PARTITION BY c.camera_id ORDER BY c.tick) - 1 AS frame_seq, d.units, coalesce(CASE WHEN d.tick % 3 > 0 THEN 0.0005::DOUBLE END, 0.001::DOUBLE) AS depth_scale,
+coalesce(-i.gray, c.gray) AS gray, i.tick IS NOT NULL AS from_infrared FROM t c JOIN t d ON c.camera_id = d.camera_id AND c.tick = d.tick AND d.tick % 7 > 0
+LEFT JOIN t i ON c.camera_id = i.camera_id AND c.tick = i.tick AND i.tick % 5 > 0 WHERE c.tick % 11 > 0)"""
+
+
+def _ticks(spark, sf_dir):
+    t = X.pixels(spark, sf_dir).groupBy((F.col("frame_id") % 4).alias("camera_id"), F.col("frame_id").alias("tick")).agg(F.sum("filtered_units").alias("units"), F.round(F.avg("cue"), 9).alias("gray"))
+    depth = t.where("tick % 7 > 0").select("camera_id", "tick", "units", F.when(F.col("tick") % 3 > 0, 0.0005).alias("depth_scale"))
+    infrared = t.where("tick % 5 > 0").select("camera_id", "tick", (-F.col("gray")).alias("gray"))
+    return N.synchronised(t.where("tick % 11 > 0").select("camera_id", "tick", "gray"), depth, infrared, ["camera_id", "tick"])
+
+
+@query("synchronised_frames", f"{_TICKS} SELECT * FROM sy")
+def _(spark, sf_dir):
+    return _ticks(spark, sf_dir)
+
+
+@query("frames_after_warm_up", f"{_TICKS} SELECT camera_id, count(*) AS frames, min(tick) AS first_tick, count(*) FILTER (WHERE from_infrared) AS infrared FROM sy WHERE frame_seq >= 10 GROUP BY 1")
+def _(spark, sf_dir):
+    f = N.after_warm_up(_ticks(spark, sf_dir), 10)
+    return f.groupBy("camera_id").agg(F.count("*").alias("frames"), F.min("tick").alias("first_tick"), F.count_if("from_infrared").alias("infrared"))
+
+
+@query("camera_inventory", f"""{_TICKS} SELECT camera_id, count(*) AS frames, min(depth_scale) AS least_scale, max(depth_scale) AS greatest_scale FROM sy GROUP BY 1""")
+def _(spark, sf_dir):
+    return _ticks(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("frames"), F.min("depth_scale").alias("least_scale"), F.max("depth_scale").alias("greatest_scale"))
+
+
+@query("anchor_support", f"""{_NEAR}, g AS (SELECT scene_id, x // 4 AS tile_x, y // 4 AS tile_y, count(*) AS anchors, sum(x) AS sx, sum(y) AS sy, sum(filtered_units) AS su FROM fun3 WHERE stable GROUP BY 1, 2, 3)
+SELECT scene_id, tile_x, tile_y, anchors, CAST(sx // anchors AS BIGINT) AS anchor_x, CAST(sy // anchors AS BIGINT) AS anchor_y, CAST(su // anchors AS BIGINT) AS anchor_depth FROM g WHERE anchors >= 8""")
+def _(spark, sf_dir):
+    stable = _funnel(spark, sf_dir).where("stable").withColumns({"tile_x": F.expr("x div 4"), "tile_y": F.expr("y div 4")})
+    return N.anchor_support(stable, ["scene_id", "tile_x", "tile_y"], "filtered_units", 8)
+
+
+@query("calibration_reuse", f"""WITH {F3_SQL}, fr AS (SELECT frame_key, x // 10 AS frame_index, count(*) AS n, regr_intercept(inverse, cue) AS ic, regr_slope(inverse, cue) AS sl FROM f3 GROUP BY 1, 2),
+ok AS (SELECT frame_key, frame_index, n >= 100 AS valid, ic, sl FROM fr),
+at_ AS (SELECT frame_key, frame_index, min(CASE WHEN valid THEN frame_index END) OVER (PARTITION BY frame_key ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS fitted_at FROM ok)
+SELECT a.frame_key, a.frame_index, a.fitted_at, round(o.ic, 9) AS intercept, round(o.sl, 9) AS slope FROM at_ a LEFT JOIN ok o ON o.frame_key = a.frame_key AND o.frame_index = a.fitted_at""")
+def _(spark, sf_dir):
+    s = X.samples(spark, sf_dir).withColumn("frame_index", F.expr("x div 10"))
+    valid = F.count("*") >= 100
+    fits = s.groupBy("frame_key", "frame_index").agg(F.when(valid, F.regr_intercept("inverse", "cue")).alias("intercept"), F.when(valid, F.regr_slope("inverse", "cue")).alias("slope"))
+    return N.reused_fit(fits, "frame_key", "frame_index").withColumns({"intercept": F.round("intercept", 9), "slope": F.round("slope", 9)})
+
+
 def _camera_candidates(spark, sf_dir):
     o = X.observations(spark, sf_dir)
     return o.withColumns({"camera_id": F.col("track_id") % 8, "observation_id": F.col("frame_index") * 1000 + F.col("track_id")}).drop("track_id", "anchor_count")
