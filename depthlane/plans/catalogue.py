@@ -11,6 +11,7 @@ from ..config import Config
 from ..functions import scalars as S
 from ..operators import calibration as C
 from ..operators import frames as N
+from ..operators import groups as U
 from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import tracks as T
@@ -411,6 +412,22 @@ def _(spark, sf_dir):
     return N.reused_fit(fits, "frame_key", "frame_index").withColumns({"intercept": F.round("intercept", 9), "slope": F.round("slope", 9)})
 
 
+_GROUPS = f"""WITH RECURSIVE {F2_SQL}, pr AS (SELECT p.frame_index, p.track_id AS a, q.track_id AS b FROM f2 p JOIN f2 q ON p.frame_index = q.frame_index AND p.track_id <> q.track_id
+AND greatest(0, q.roi_x0 - p.roi_x1, p.roi_x0 - q.roi_x1) <= 20 AND greatest(0, q.roi_y0 - p.roi_y1, p.roi_y0 - q.roi_y1) <= 5 AND abs(p.depth_mm - q.depth_mm) <= 6),
+rc AS (SELECT frame_index, track_id, track_id AS root FROM f2 UNION SELECT pr.frame_index, pr.b, rc.root FROM rc JOIN pr ON pr.frame_index = rc.frame_index AND pr.a = rc.track_id),
+gr AS (SELECT frame_index, track_id, min(root) AS group_id FROM rc GROUP BY 1, 2),
+ro AS (SELECT frame_index, group_id, count(*) AS n, min(roi_x0) AS roi_x0, min(roi_y0) AS roi_y0, max(roi_x1) AS roi_x1, max(roi_y1) AS roi_y1, CAST(sum(area) AS BIGINT) AS area, sum(depth_mm * area) AS weighted
+FROM f2 JOIN gr USING (frame_index, track_id) GROUP BY 1, 2)"""
+
+
+@query("observation_groups", f"{_GROUPS} SELECT * EXCLUDE (weighted), CASE WHEN area > 0 THEN CAST(weighted // area AS BIGINT) END AS depth_mm FROM ro")
+def _(spark, sf_dir):
+    from ..runtime import ship
+
+    ship(spark)
+    return U.rollup(U.members(X.observations(spark, sf_dir), 20, 6))
+
+
 def _camera_candidates(spark, sf_dir):
     o = X.observations(spark, sf_dir)
     return o.withColumns({"camera_id": F.col("track_id") % 8, "observation_id": F.col("frame_index") * 1000 + F.col("track_id")}).drop("track_id", "anchor_count")
