@@ -31,6 +31,7 @@ DROP = frozenset("head nav header footer aside form script style noscript templa
 CONTAINER = frozenset("article body div main section td td center blockquote".split())
 ENDS_P = BLOCK - {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot"}
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice banner popup modal newsletter subscribe share sharing social related recommended comment comments reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead pagination pager login signup widget".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())  # as a whole class; "has-comments" marks an article that has some
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -48,7 +49,7 @@ class Node:
         words = {w for c in (*classes, attributes.get("id", "").lower()) for w in _PART.split(c)}
         style = attributes.get("style", "").replace(" ", "").lower()
         self.dropped = (
-            tag in DROP or bool(words & DROP_WORDS and tag not in ("body", "html", "article", "main")) or attributes.get("role", "").lower() in DROP_ROLES
+            tag in DROP or bool(words & DROP_WORDS and tag not in ("body", "html", "article", "main")) or (tag == "article" and not COMMENT_WORDS.isdisjoint(classes)) or attributes.get("role", "").lower() in DROP_ROLES
             or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
         )
         self.name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes} - {""})])

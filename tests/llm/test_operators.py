@@ -355,6 +355,12 @@ def test_html_extraction(spark):
     assert htmltext.extract_pages(df).count() == 8 and htmltext.extract_pages(df.limit(0)).count() == 0
 
 
+def test_articles_that_are_reader_comments_go():
+    story = "<article class='post has-comments'><h1>A title</h1><p>The story itself.</p></article>"
+    remark = "<div class=thread><article class='comment'><p>A reader's remark that is much longer than the story itself, by far.</p></article></div>"
+    assert htmltext.extract(f"<body>{story}{remark}</body>") == "A title\n\nThe story itself."
+
+
 def test_consensus_beats_the_page_itself(spark):
     big = "<div class=story><p>" + "real text here " * 40 + "</p></div><div class=box><p>small</p></div>"
     odd = "<div class=story><p>the story</p></div><div class=box><p>" + "long box text " * 60 + "</p></div>"
