@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthlane.llm import packing, pii, quality, simhash, toxicity
+from depthlane.llm import nearcopies, packing, pii, quality, toxicity
 from depthlane.runtime import materialise, table
 
 
@@ -28,8 +28,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id stays (one of them, where rows repeat)."""
-    return simhash.representatives(docs)
+    """Of each component of documents at similarity 0.8 or more the one with the least doc_id stays (one row, where rows repeat)."""
+    return nearcopies.representatives(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxic_documents), ("near duplicates", near_duplicates), ("private data", private_data), ("packing", packed)]
-#: Fingerprints, nearest neighbours and tokens are beyond SQL; tests hold run() against a brute-force version.
+#: Minhash values, nearest neighbours and tokens are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
