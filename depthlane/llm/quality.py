@@ -3,9 +3,8 @@
 Base rules see one text. The cross-document rule hashes each line (lower case, white space collapsed), counts per host
 (`source`) in how many distinct documents it occurs, and removes lines above the host's limit, max(MIN_DOCUMENTS,
 SHARE of the host's distinct documents). A document that keeps less than LEFT of its words is depleted and rejected.
-Copies must not make their own text look like boilerplate, so documents count as distinct by the least and by the greatest
-hash of their three-word windows, which exact copies share always and near copies mostly; the larger count holds, since a
-long shared line may itself own one of the two hashes.
+Exact copies must not make their own text look like boilerplate, so documents count as distinct by a hash of their whole
+text (lower case, white space collapsed). Nothing else collapses: near copies count each.
 
 Null texts have no words and fail the base rules; a null source is a host of its own. Repeated rows are judged each. An
 empty table gives no rows. Other columns pass through `judge` untouched; its own start with "_q_".
@@ -35,8 +34,8 @@ def _base(df: DataFrame) -> DataFrame:
         "_q_hashes": F.expr("case when size(_q_words) >= 3 then transform(sequence(0, size(_q_words) - 3), i -> xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2])) else cast(array() as array<bigint>) end"),
         "_q_marks": F.expr(f"transform(_q_lines, l -> struct(xxhash64(lower(trim(regexp_replace(l, '{_WS}+', ' ')))) as h, cast(size(split(trim(regexp_replace(l, '{_WS}+', ' ')), ' ')) as bigint) as w))"),
     })
+    df = df.withColumn("_q_doc", F.expr("xxhash64(lower(array_join(_q_words, ' ')))"))
     # hashes only say that nothing repeats; where they repeat, the windows themselves are compared
-    df = df.withColumns({"_q_low": F.expr("coalesce(array_min(_q_hashes), xxhash64(_q_t))"), "_q_high": F.expr("coalesce(array_max(_q_hashes), xxhash64(_q_t))")})
     df = df.withColumn("_q_sorted", F.expr(
         "case when size(array_distinct(_q_hashes)) < size(_q_hashes) then array_sort(transform(sequence(0, size(_q_words) - 3), "
         "i -> struct(concat_ws(' ', _q_words[i], _q_words[i + 1], _q_words[i + 2]) as g, i as i))) end"))
@@ -56,15 +55,15 @@ def judge(documents: DataFrame, *, host: str = "source", text: bool = False) ->
     rows = documents.withColumn("_q_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))).withColumn("_q_row", F.monotonically_increasing_id())
     rows = _base(rows)
     rows = materialise(rows if text else rows.drop("text"), "quality")
-    lines = rows.select("_q_row", "_q_host", "_q_low", "_q_high", F.explode("_q_marks").alias("m")).select("_q_row", "_q_host", "_q_low", "_q_high", F.col("m.h").alias("h"), F.col("m.w").alias("w"))
-    distinct = F.greatest(F.countDistinct("_q_low"), F.countDistinct("_q_high"))
+    lines = rows.select("_q_row", "_q_host", "_q_doc", F.explode("_q_marks").alias("m")).select("_q_row", "_q_host", "_q_doc", F.col("m.h").alias("h"), F.col("m.w").alias("w"))
+    distinct = F.countDistinct("_q_doc")
     hosts = rows.groupBy("_q_host").agg(distinct.alias("docs"))
     counts = lines.groupBy("_q_host", "h").agg(distinct.alias("n")).where(F.col("n") > MIN_DOCUMENTS)
     frequent = materialise(counts.join(hosts, "_q_host").where(F.col("n") > F.greatest(F.lit(MIN_DOCUMENTS), F.ceil(SHARE * F.col("docs")))).select("_q_host", "h"), "quality-lines")
     removed = lines.join(frequent, ["_q_host", "h"]).groupBy("_q_row").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("_q_removed"))
     out = rows.join(removed, "_q_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= LEFT * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("_q_row", "_q_host", "_q_low", "_q_high", "_q_marks")
+    return out.withColumn("kept", kept).drop("_q_row", "_q_host", "_q_doc", "_q_marks")
 
 
 def without_frequent_lines(column: str = "text") -> Column:
