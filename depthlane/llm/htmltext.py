@@ -32,6 +32,12 @@ CONTAINER = frozenset("article body div main section td td center blockquote".sp
 ENDS_P = BLOCK - {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot"}
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice banner popup modal newsletter subscribe share sharing social related recommended comment comments reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead pagination pager login signup widget".split())
 COMMENT_WORDS = frozenset("comment comments reply replies".split())  # as a whole class; "has-comments" marks an article that has some
+# What may stand beside a drop word in a compound of the same meaning; "header" only beside words of the whole site.
+SITE = frozenset("site global top primary secondary".split())
+BESIDE = SITE | frozenset("area bar block bottom box button buttons container form inner item left link links list main outer overlay page panel post posts right row slot toggle unit wrap wrapper".split())
+# Drop words of the page's frame rather than of what is no article; an element with most of the page's text is not one.
+FRAME = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation pager pagination promo promotion recommended related share sharing sidebar social widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -40,18 +46,30 @@ _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
+def drop_words(name: str) -> set[str]:
+    """The drop words of a class or id that is one, or a compound of nothing but such words, digits and those of BESIDE."""
+    if name in DROP_WORDS:
+        return {name}
+    parts = {w for w in _PART.split(name) if w and not w.isdigit()}
+    found = parts & DROP_WORDS
+    return found if found and parts - found <= (SITE if "header" in found else BESIDE) else set()
+
+
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "dropped", "name")
+    __slots__ = ("tag", "attributes", "parent", "children", "dropped", "words", "name")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
         classes = attributes.get("class", "").lower().split()
-        words = {w for c in (*classes, attributes.get("id", "").lower()) for w in _PART.split(c)}
+        named = classes if tag in HEADINGS else [*classes, attributes.get("id", "").lower()]
+        words = set() if tag in ("body", "html", "article", "main") else {w for c in named for w in drop_words(c)}
         style = attributes.get("style", "").replace(" ", "").lower()
         self.dropped = (
-            tag in DROP or bool(words & DROP_WORDS and tag not in ("body", "html", "article", "main")) or (tag == "article" and not COMMENT_WORDS.isdisjoint(classes)) or attributes.get("role", "").lower() in DROP_ROLES
+            tag in DROP or (tag == "article" and not COMMENT_WORDS.isdisjoint(classes)) or attributes.get("role", "").lower() in DROP_ROLES
             or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
         )
+        self.words = frozenset() if self.dropped else frozenset(words)
+        self.dropped = self.dropped or bool(words)
         self.name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes} - {""})])
 
 
@@ -89,9 +107,42 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not None and up.tag == tag and up.parent is not None:
                 here = up.parent
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Elements dropped by their words alone stay if they hold a main or the longest article, or, where the words are of
+    the page's frame, most of the page's text outside links."""
+    order, size, linked, stack = [], {}, set(), [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if node.tag == "a" or id(node.parent) in linked:
+            linked.add(id(node))
+        size[id(node)] = 0 if id(node) in linked else sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        stack += [c for c in node.children if isinstance(c, Node) and (not c.dropped or c.words)]
+    if not any(n.words for n in order):
+        return
+    for node in reversed(order):
+        if node.parent is not None:
+            size[id(node.parent)] += size[id(node)]
+    unnamed = root_size = size[id(root)]
+    unnamed -= sum(size[id(n)] for n in order if n.words - FRAME and not any(u.words - FRAME for u in _above(n)))
+    articles = [n for n in order if n.tag == "article"]
+    holders = [n for n in order if n.tag == "main"] + ([max(articles, key=lambda n: size[id(n)])] if articles else [])
+    holds = {id(u) for n in holders for u in _above(n)} if root_size else set()
+    for node in order:
+        if node.words and (id(node) in holds or (node.words <= FRAME and 2 * size[id(node)] > unnamed)):
+            node.dropped = False
+
+
+def _above(node: Node):
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
 def _close(here: Node, tags, stop) -> Node:
     up = here
     while up.parent is not None and up.tag not in tags and up.tag not in stop:
