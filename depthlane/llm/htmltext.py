@@ -120,7 +120,7 @@ def _spare(root: Node) -> None:
         order.append(node)
         if node.tag == "a" or id(node.parent) in linked:
             linked.add(id(node))
-        size[id(node)] = 0 if id(node) in linked else sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        size[id(node)] = 0 if id(node) in linked else sum(len(c.strip()) for c in node.children if isinstance(c, str))
         stack += [c for c in node.children if isinstance(c, Node) and (not c.dropped or c.words)]
     if not any(n.words for n in order):
         return
@@ -219,20 +219,22 @@ def best_container(root: Node) -> Node:
     return best
 
 
-def find(root: Node, wanted: str) -> Node | None:
-    """Of the elements on this generalised path that are not dropped, the one with most text."""
+def find(root: Node, wanted: str) -> list[Node]:
+    """All elements on this generalised path that are not dropped, in page order."""
     level = [root]
     for name in wanted.split("/"):
         level = [c for n in level for c in n.children if isinstance(c, Node) and not c.dropped and c.name == name]
-    return max(level, key=lambda n: sum(len(t) for t, _, _ in blocks(n)), default=None)
+    return level
 
 
 def extract(page: str, wanted: str | None = None) -> str:
-    """Blocks of the wanted path, or else of the page's own best container, joined by empty lines."""
+    """Blocks of all elements on the wanted path, or else on that of the page's own best container, joined by empty lines."""
     root = parse(page)
-    node = find(root, wanted) if wanted else None
-    found = [t for t, _, _ in blocks(node)] if node else []
-    return "\n\n".join(found or [t for t, _, _ in blocks(best_container(root))])
+    found = [t for n in find(root, wanted) for t, _, _ in blocks(n)] if wanted else []
+    if not found:
+        own = path(best_container(root))
+        found = [t for n in (find(root, own) if own else [root]) for t, _, _ in blocks(n)]
+    return "\n\n".join(found)
 
 
 def _vote(frames):

@@ -24,3 +24,9 @@ def test_parts_of_an_article_stay():
 def test_long_comments_and_notices_still_go():
     for name in ("comments", "cookie-notice", "newsletter", "comment-list"):
         assert htmltext.extract(f"<body><div class=text><p>Short.</p></div><div class='{name}'><p>{'remark ' * 200}</p></div></body>") == "Short."
+
+
+def test_all_siblings_on_the_path_stay_in_order():
+    page = "<body><div class=text>" + "".join(f"<div class=section><p>Part {k} {'words ' * n}</p></div>" for k, n in enumerate((3, 90, 5))) + "</div></body>"
+    expected = "\n\n".join(f"Part {k} {'words ' * n}".strip() for k, n in enumerate((3, 90, 5)))
+    assert htmltext.extract(page, "body/div.text/div.section") == htmltext.extract(page) == htmltext.extract(page, "body/div.other") == expected
