@@ -7,8 +7,8 @@ A surrogate is a keyed permutation of the values that share the entity's type an
 script and case, each digit a digit, punctuation stays. The permutation is a Feistel network over the mixed-radix number
 of the symbols, used as x -> P'(P(x) + c): a bijection without fixed points. So equal entities get equal surrogates in all
 documents (coreference), different entities different ones, and none keeps its value; nothing has to be gathered, however
-large the corpus. Names map to names of the same gender and script: the given name by permutation of a name list where it
-is listed, else by its letters. `collisions` checks distinctness over a corpus after the fact.
+large the corpus. Names map to names of the same gender and script, word by word: a given name by permutation of a name list
+where it is listed, else by its letters; particles stay.
 
 The key comes from the caller or from the session's depthlane.pii.key. Null texts stay null and have no entities; texts
 without entities return unchanged, byte for byte. Repeated rows are treated alike. An empty table gives no rows. Other
@@ -48,7 +48,12 @@ ALPHABETS = {
 }
 _PLACE = {c: (name, i) for name in ("digit", "latin", "accented", "greek", "cyrillic") for i, c in enumerate(ALPHABETS[name])}
 
-_NAME = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+# A name: initials and capitalised words that are no titles, with particles before any of them.
+_UPPER = "[" + "".join(c for c in map(chr, range(0x10000)) if c.isupper() or c.istitle()) + "]"
+_PARTICLE = "(?:(?:von|van)(?: (?:der|den|dem|de|het|zu))?|de(?: (?:la|las|los|le))?|del|della|di|da|das|dos|du|des|y|bin|ibn|ben|al|el|ter|ten|zu|af|av)"
+_WORD = rf"(?!(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)})\b)(?:[dlDL]['’])?{_UPPER}(?:[^\W\d_]+|(?=['’-][^\W\d_]))(?:[-'’][^\W\d_]+)*"
+_PART = rf"(?:{_PARTICLE} )*(?:{_UPPER}\.(?:-?{_UPPER}\.)*|{_UPPER}(?= {_UPPER}[^\W\d_])|{_WORD})"
+_NAME = rf"{_PART}(?: {_PART})*"
 _PATTERNS = [
     ("email", re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")),
     ("secret", re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passwd|password|pwd)\b["']?\s*[=:]\s*["']?)([A-Za-z0-9+/_\-]{8,}={0,2})""")),
@@ -59,9 +64,9 @@ _PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w-])\d{4}(?:([ -]?)\d{4}(?:\1\d{4}){2}|[ -]\d{6}[ -]\d{5}|\d{9,15})(?![\w-])")),
-    ("name_f", re.compile(rf"(?<!\w)(?:{'|'.join(FEMALE_TITLES)})\.? ({_NAME}(?: {_NAME})?)")),
-    ("name_m", re.compile(rf"(?<!\w)(?:{'|'.join(MALE_TITLES)})\.? ({_NAME}(?: {_NAME})?)")),
-    ("name", re.compile(rf"(?<!\w)(?:(?:{'|'.join(NEUTRAL_TITLES)})\.?|(?i:{'|'.join(INTRODUCTIONS)})) ({_NAME}(?: {_NAME})?)")),
+    ("name_f", re.compile(rf"(?<!\w)(?:{'|'.join(FEMALE_TITLES)})\.? ({_NAME})")),
+    ("name_m", re.compile(rf"(?<!\w)(?:{'|'.join(MALE_TITLES)})\.? ({_NAME})")),
+    ("name", re.compile(rf"(?<!\w)(?:(?:{'|'.join(NEUTRAL_TITLES)})\.?|(?i:{'|'.join(INTRODUCTIONS)})) ({_NAME})")),
 ]
 
 #: What a text must hold for the pattern at the same place to match at all; far cheaper to look for than the pattern.
@@ -77,16 +82,6 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1) if kind in ("secret",) and m.re.groups else m.span(1) if kind.startswith("name") else m.span()
-            if kind.startswith("name"):
-                words = [w for w in re.finditer(r"\S+", text[a:b])]
-                good = []
-                for w in words:
-                    if not w[0][0].isupper():
-                        break
-                    good.append(w)
-                if not good:
-                    continue
-                b = a + good[-1].end()
             at = bisect_left(taken, (a, b))
             if (at == len(taken) or b <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= a):
                 found.append((a, b, kind))
