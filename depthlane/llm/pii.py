@@ -8,7 +8,9 @@ script and case, each digit a digit, punctuation stays. The permutation is a Fei
 of the symbols, used as x -> P'(P(x) + c): a bijection without fixed points. So equal entities get equal surrogates in all
 documents (coreference), different entities different ones, and none keeps its value; nothing has to be gathered, however
 large the corpus. Names map to names of the same gender and script, word by word: a given name by permutation of a name list
-where it is listed, else by its letters; particles stay.
+where it is listed, else by its letters; particles stay. Both operators check over the distinct entities of the corpus
+that surrogates are distinct and equal entities have equal ones, and fail where not; originals reach that check, and the
+shared folder, as keyed hashes only.
 
 The key comes from the caller or from the session's depthlane.pii.key. Null texts stay null and have no entities; texts
 without entities return unchanged, byte for byte. Repeated rows are treated alike. An empty table gives no rows. Other
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import materialise, ship
 from .rows import keys, source
 
 DEFAULT_KEY = "depthlane-development-key"
@@ -155,11 +157,14 @@ def _permuted(secret: bytes, kind: str, value: str, digits_only=False, hexadecim
 
 def _name(secret: bytes, kind: str, value: str) -> str:
     out = []
-    for n, word in enumerate(value.split(" ")):
+    for word in value.split(" "):
+        if word.islower():  # a particle
+            out.append(word)
+            continue
         script = "cyrillic" if word[0].lower() in ALPHABETS["cyrillic"] else "latin"
         genders = [kind[-1]] if kind in ("name_f", "name_m") else ["f", "m"]
-        lists = [GIVEN[g, script] for g in genders] if n == 0 else []
-        names = next((own for own in lists if word.capitalize() in own), None)
+        lists = [GIVEN[g, script] for g in genders]
+        names = next((own for own in lists if word.capitalize() in own), None) if word in (word.capitalize(), word.upper()) else None
         if names:
             new = names[Permutation(secret, f"given:{script}:{names[0]}", len(names))(names.index(word.capitalize()))]
             out.append(new.upper() if word.isupper() else new)
@@ -197,13 +202,16 @@ def surrogate(secret: bytes, kind: str, value: str) -> str:
     return _permuted(secret, kind, value, hexadecimal=bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)))
 
 
-def redact_text(text: str, secret: bytes) -> tuple[str, list[dict]]:
-    """The text with surrogates, and of each its type, its place in the new text and itself."""
+def redact_text(text: str, secret: bytes, originals: list[str] | None = None) -> tuple[str, list[dict]]:
+    """The text with surrogates, and of each its type, its place in the new text and itself; originals takes their hashes."""
     parts, at, shift, found = [], 0, 0, []
     for a, b, kind in detect(text):
         new = surrogate(secret, kind, text[a:b])
         parts += [text[at:a], new]
         found.append({"type": kind, "start": a + shift, "end": a + shift + len(new), "surrogate": new})
+        if originals is not None:
+            plain = re.sub(r"\b0+(?=\d)", "", text[a:b]) if kind == "ip" else text[a:b]  # 1.2.3.04 is 1.2.3.4
+            originals.append(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), key=hashlib.blake2b(secret, digest_size=32).digest(), digest_size=16).hexdigest())
         shift += len(new) - (b - a)
         at = b
     return ("".join([*parts, text[at:]]), found) if found else (text, found)
@@ -214,6 +222,25 @@ def _secret(documents: DataFrame, key: str | None) -> bytes:
 
 
 ENTITIES = "array<struct<type: string, start: int, end: int, surrogate: string>>"
+_PAIRS = pa.list_(pa.struct([("type", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
+
+
+def _redacted(text: str | None, secret: bytes) -> tuple[str | None, list[dict], list[dict]]:
+    """The text with surrogates, its entities, and (type, original's hash, surrogate) of each."""
+    if not isinstance(text, str):
+        return None, [], []
+    originals: list[str] = []
+    new, found = redact_text(text, secret, originals)
+    return new, found, [{"type": e["type"], "original": o, "surrogate": e["surrogate"]} for e, o in zip(found, originals, strict=True)]
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """rows without _p_pairs, once their distinct pairs have shown no fault."""
+    rows = materialise(rows, "pii")
+    faults = collisions(rows.select(F.explode("_p_pairs").alias("p")).select("p.*")).groupBy("type", "fault").count().collect()
+    if faults:
+        raise ValueError(f"surrogates at fault: {sorted(tuple(f) for f in faults)}; choose another key")
+    return rows.drop("_p_pairs")
 
 
 def entities(documents: DataFrame, key: str | None = None) -> DataFrame:
@@ -223,10 +250,11 @@ def entities(documents: DataFrame, key: str | None = None) -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            done = [redact_text(t, secret) if isinstance(t, str) else (None, []) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "text": [t for t, _ in done], "n_entities": [len(e) for _, e in done], "entities": [e for _, e in done]})
+            done = [_redacted(t, secret) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "text": [t for t, _, _ in done], "n_entities": [len(e) for _, e, _ in done], "entities": [e for _, e, _ in done], "_p_pairs": [p for _, _, p in done]})
 
-    return source(documents).mapInPandas(run, f"doc_id long, text string, n_entities long, entities {ENTITIES}")
+    pairs = "array<struct<type: string, original: string, surrogate: string>>"
+    return _checked(source(documents).mapInPandas(run, f"doc_id long, text string, n_entities long, entities {ENTITIES}, _p_pairs {pairs}"))
 
 
 def redact(documents: DataFrame, key: str | None = None) -> DataFrame:
@@ -237,17 +265,19 @@ def redact(documents: DataFrame, key: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t if t is None else redact_text(t, secret)[0] for t in batch["text"].to_pylist()]
-            columns = [pa.array(texts, batch.schema.field("text").type) if name == "text" else batch[name] for name in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            done = [_redacted(t, secret) for t in batch["text"].to_pylist()]
+            texts = pa.array([t for t, _, _ in done], batch.schema.field("text").type)
+            columns = [texts if name == "text" else batch[name] for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p for _, _, p in done], _PAIRS)], schema=batch.schema.append(pa.field("_p_pairs", _PAIRS)))
 
-    out = documents.mapInArrow(run, schema)
+    out = documents.withColumn("_p_pairs", F.expr("cast(array() as array<struct<type: string, original: string, surrogate: string>>)"))
+    out = _checked(documents.mapInArrow(run, out.schema)).select(*schema.names)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 
 def collisions(pairs: DataFrame) -> DataFrame:
     """Of (type, original, surrogate): surrogates that stand for several originals, or originals with several surrogates."""
-    plain = pairs.select("type", F.lower("original").alias("original"), F.lower("surrogate").alias("surrogate")).distinct()
+    plain = pairs.select("type", "original", "surrogate").distinct()
     several = plain.groupBy("type", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("type", F.col("surrogate").alias("value"), F.lit("shared").alias("fault"))
     split = plain.groupBy("type", "original").agg(F.count("*").alias("n")).where("n > 1").select("type", F.col("original").alias("value"), F.lit("split").alias("fault"))
     return several.unionByName(split)

@@ -17,3 +17,20 @@ def test_whole_names(text, name):
 def test_two_names_of_a_sentence():
     text = "Mr. Smith Mrs. Maria Lopez Diaz and Mr. J. Doe"
     assert [text[a:b] for a, b, _ in pii.detect(text)] == ["Smith", "Maria Lopez Diaz", "J. Doe"]
+
+
+def test_words_of_names_map_alike():
+    one, two = (pii.surrogate(b"k", "name_m", n) for n in ("James", "Robert James"))
+    assert two.split()[1] == one
+    assert len({pii.surrogate(b"k", "name_f", n) for n in ("Maria", "MaRia", "MARIA")}) == 3
+
+
+def test_operators_fail_on_colliding_surrogates(spark):
+    """Sound surrogates pass; a shared surrogate or an original with two of them stops the operator."""
+    docs = spark.createDataFrame([(1, "mail a.b@c.org"), (2, "mail b.a@c.org"), (3, None)], "doc_id long, text string")
+    for operator in (pii.entities, pii.redact):
+        assert operator(docs).count() == 3
+    pairs = [("name", "x", "A"), ("name", "y", "A"), ("name", "z", "B"), ("name", "z", "C"), ("ip", "x", "A")]
+    rows = spark.createDataFrame([(1, pairs)], "doc_id long, _p_pairs array<struct<type: string, original: string, surrogate: string>>")
+    with pytest.raises(ValueError, match="shared.*split"):
+        pii._checked(rows)
