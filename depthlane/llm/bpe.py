@@ -7,7 +7,8 @@ pairs of a batch of words are tested at once against a sorted table of known ver
 once and added. Only words with a failing token or pair are merged exactly.
 
 Texts are cut at spaces, which no word of the model's pattern crosses; results per segment are kept in a bounded cache.
-Null texts count as empty. An empty table gives no rows. Other columns are ignored.
+Segments beyond ASCII are normalised and split into words by the tokenizers library itself, whose Unicode tables are of
+another version than Python's; ids are found by this module throughout. Null texts count as empty. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .rows import keys, source
+from .tokens import tokenizer
 
 CACHE_ENTRIES = 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: White space as Unicode defines it: fixed values.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
 def byte_symbols() -> list[str]:
@@ -57,8 +56,8 @@ class WordBpe:
         for token in self.vocab:
             n = len(token.removesuffix(self.end))
             self.reach[token[:2]] = max(self.reach.get(token[:2], 1), n)
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
-        self.words = regex.compile(pattern, regex.V1)
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V1 | regex.ASCII)
+        self.library = tokenizer(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = dict(enumerate(byte_symbols()))
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -166,19 +165,16 @@ class WordBpe:
                 out.append([self.vocab[s] for s in self.merge(start) if s in self.vocab])
         return out
 
-    def normalise(self, text: str) -> str:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # by character: no final-sigma rule
-
     def pieces(self, segment: str) -> list[str | int]:
         """Words in byte symbols, and ids of added tokens, of a text without spaces that matter."""
         out: list[str | int] = []
         for part in self.cut.split(segment) if self.cut else [segment]:
             if part in self.added:
                 out.append(self.added[part])
-            elif part:
-                for word in self.words.findall(self.normalise(part)):
-                    out.append(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols))
+            elif part.isascii():
+                out += [word.translate(self.symbols) for word in self.words.findall(part.lower())]
+            else:
+                out += [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
     def learn(self, segments: list[str]) -> None:
