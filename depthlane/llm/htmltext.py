@@ -7,7 +7,7 @@ container where it has no such path or no text there. Votes are counts of pages,
 aggregate; winners are joined by host, and Spark broadcasts them only where their table is small.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role
-or class word. Null or empty html gives an empty text; a null url is a host of its own. Repeated rows are extracted each.
+or class word; a heading's own header ("post-header") stays, only a header element or that of a site goes. Null or empty html gives an empty text; a null url is a host of its own. Repeated rows are extracted each.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,7 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("head nav header footer aside form script style noscript template iframe object embed button select option input textarea svg canvas audio video dialog menu title".split())
-CONTAINER = frozenset("article body div main section td td center blockquote".split())
+CONTAINER = frozenset("article body div main section td center blockquote".split())
 ENDS_P = BLOCK - {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot"}
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice banner popup modal newsletter subscribe share sharing social related recommended comment comments reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead pagination pager login signup widget".split())
 COMMENT_WORDS = frozenset("comment comments reply replies".split())  # as a whole class; "has-comments" marks an article that has some
@@ -39,9 +40,22 @@ BESIDE = SITE | frozenset("area bar block bottom box button buttons container fo
 FRAME = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation pager pagination promo promotion recommended related share sharing sidebar social widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_UNFINISHED = re.compile(r"<[/a-zA-Z!?][^>]*\Z")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_PLAIN = re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+#: What the start of an item, row or cell closes, and where the search for it stops.
+_LISTS = frozenset("ul ol dl table select".split())
+SIBLINGS = {
+    "li": ({"li"}, _LISTS), "dd": ({"dd", "dt"}, _LISTS), "dt": ({"dd", "dt"}, _LISTS), "option": ({"option"}, _LISTS),
+    "tr": ({"tr"}, _LISTS), "td": ({"td", "th"}, _LISTS | {"tr"}), "th": ({"td", "th"}, _LISTS | {"tr"}),
+}
+SCOPED = _LISTS | frozenset(SIBLINGS)
+SVG = frozenset("path g rect circle use".split())
+DAMPING = 0.6
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -60,6 +74,9 @@ class Node:
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        if not attributes:
+            self.dropped, self.words, self.name = tag in DROP, frozenset(), tag
+            return
         classes = attributes.get("class", "").lower().split()
         named = classes if tag in HEADINGS else [*classes, attributes.get("id", "").lower()]
         words = set() if tag in ("body", "html", "article", "main") else {w for c in named for w in drop_words(c)}
@@ -73,40 +90,136 @@ class Node:
         self.name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes} - {""})])
 
 
+def attributes_at(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from the end of its name on, by HTML's rules, and the place after the tag; -1 where the page
+    ends inside it. A quote matters only at the start of a value; of equal names the first holds."""
+    found: dict[str, str] = {}
+    end = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= end:
+            return found, -1
+        if page[at] == ">":
+            return found, at + 1
+        m = _KEY.match(page, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if m := _EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote == '"' or quote == "'":
+                close = page.find(quote, at + 1)
+                if close < 0:
+                    return found, -1
+                value, at = page[at + 1 : close], close + 1
+            else:
+                m = _PLAIN.match(page, at)
+                value, at = m[0], m.end()
+        found.setdefault(name, html.unescape(value) if "&" in value else value)
+
+
+class _Open:
+    """The open elements. Every element is pushed and popped once, and what may close is known without a search."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.levels: list[Counter] = [Counter()]  # the open inline elements within each open block element, by tag
+        self.blocks: list[int] = [0]  # places of the open block elements, the root first
+        self.scoped: list[int] = []  # places of the open list and table elements
+        self.counts: Counter = Counter()  # open block elements by tag
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+            self.levels.append(Counter())
+            self.counts[node.tag] += 1
+        else:
+            self.levels[-1][node.tag] += 1
+        if node.tag in SCOPED:
+            self.scoped.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        """Close everything from this place on."""
+        while len(self.nodes) > to:
+            node = self.nodes.pop()
+            if node.tag in BLOCK:
+                self.blocks.pop(), self.levels.pop()
+                self.counts[node.tag] -= 1
+            else:
+                self.levels[-1][node.tag] -= 1
+            if node.tag in SCOPED:
+                self.scoped.pop()
+
+    def starts(self, tag: str) -> None:
+        """What the start of this tag closes: a paragraph, or the item, row or cell of the same list or table."""
+        if tag in ENDS_P and self.nodes[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in SIBLINGS:
+            closes, stops = SIBLINGS[tag]
+            for place in reversed(self.scoped):  # elements that close each other never pile up without a stop between
+                if self.nodes[place].tag in closes:
+                    self.cut(place)
+                    break
+                if self.nodes[place].tag in stops:
+                    break
+
+    def ends(self, tag: str) -> None:
+        """An inline end tag reaches up to the block around it, that of a block element any element of its tag."""
+        if (self.counts if tag in BLOCK else self.levels[-1])[tag]:
+            place = len(self.nodes) - 1
+            while self.nodes[place].tag != tag:
+                place -= 1
+            self.cut(place)
+
+
 def parse(page: str) -> Node:
-    """A tree of nodes and strings. Unclosed paragraphs, items and cells end where the next one starts."""
-    root = here = Node("#root", {}, None)
-    at, end = 0, len(page)
+    """A tree of nodes and strings, in time linear in the page. Tags are read by HTML's rules; unclosed paragraphs, items and
+    cells end where the next one starts. A tag, comment or raw element that the page leaves unfinished goes."""
+    root = Node("#root", {}, None)
+    open_, at, end = _Open(root), 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            here.children.append(_UNFINISHED.sub("", page[at:]))
+        less = page.find("<", at)
+        if less < 0:
+            open_.nodes[-1].children.append(html.unescape(page[at:]))
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2]:
-            tag = m[2].lower()
-            attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in reversed(_ATTRIBUTE.findall(m[3]))} if m[3].strip() else {}
-            if tag in ENDS_P:
-                here = _close(here, ("p",), BLOCK - {"p"})
-            if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                here = _close(here, {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag], {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
-            node = Node(tag, attributes, here)
-            here.children.append(node)
-            if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            elif tag not in VOID and not m[3].rstrip().endswith("/"):
-                here = node
-            elif tag not in VOID and tag not in ("path", "g", "rect", "circle", "use"):
-                here = node  # HTML ignores the slash of an element that is not void
-        elif m[1]:
-            tag, up = m[1].lower(), here
-            while up is not None and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                here = up.parent
+        if less > at:
+            open_.nodes[-1].children.append(html.unescape(page[at:less]))
+        sign = page[less + 1 : less + 2]
+        if sign == "!" or sign == "?":
+            if page.startswith("<!--", less):
+                short = 1 if page.startswith(">", less + 4) else 2 if page.startswith("->", less + 4) else 0
+                close = _COMMENT_END.search(page, less + 4) if not short else None
+                at = less + 4 + short if short else close.end() if close else end
+            else:
+                at = page.find(">", less) + 1 or end
+            continue
+        m = _NAME.match(page, less + (2 if sign == "/" else 1))
+        if m is None:
+            if sign == "/":
+                at = page.find(">", less) + 1 or end
+            else:
+                open_.nodes[-1].children.append("<")
+                at = less + 1
+            continue
+        tag, at = m[0].lower(), m.end()
+        attributes: dict[str, str] = {}
+        if page.startswith(">", at):
+            at += 1
+        else:
+            attributes, at = attributes_at(page, at)
+            if at < 0:
+                break
+        if sign == "/":
+            open_.ends(tag)
+            continue
+        open_.starts(tag)
+        node = Node(tag, attributes, open_.nodes[-1])
+        open_.nodes[-1].children.append(node)
+        if tag in RAW:
+            close = _RAW_END[tag].search(page, at)
+            at = (page.find(">", close.end()) + 1 or end) if close else end
+        elif tag not in VOID and not (tag in SVG and page.startswith("/>", at - 2)):
+            open_.push(node)  # HTML ignores the slash of an element of its own that is not void
     _spare(root)
     return root
 
@@ -114,12 +227,13 @@ def parse(page: str) -> Node:
 def _spare(root: Node) -> None:
     """Elements dropped by their words alone stay if they hold a main or the longest article, or, where the words are of
     the page's frame, most of the page's text outside links."""
-    order, size, linked, stack = [], {}, set(), [root]
+    order, size, linked, named, stack = [], {}, set(), {}, [root]
     while stack:
         node = stack.pop()
         order.append(node)
         if node.tag == "a" or id(node.parent) in linked:
             linked.add(id(node))
+        named[id(node)] = bool(node.words - FRAME) or (node.parent is not None and named[id(node.parent)])
         size[id(node)] = 0 if id(node) in linked else sum(len(c.strip()) for c in node.children if isinstance(c, str))
         stack += [c for c in node.children if isinstance(c, Node) and (not c.dropped or c.words)]
     if not any(n.words for n in order):
@@ -128,28 +242,19 @@ def _spare(root: Node) -> None:
         if node.parent is not None:
             size[id(node.parent)] += size[id(node)]
     unnamed = root_size = size[id(root)]
-    unnamed -= sum(size[id(n)] for n in order if n.words - FRAME and not any(u.words - FRAME for u in _above(n)))
+    unnamed -= sum(size[id(n)] for n in order if n.words - FRAME and not named[id(n.parent)])
     articles = [n for n in order if n.tag == "article"]
     holders = [n for n in order if n.tag == "main"] + ([max(articles, key=lambda n: size[id(n)])] if articles else [])
-    holds = {id(u) for n in holders for u in _above(n)} if root_size else set()
+    holds: set[int] = set()
+    for node in holders if root_size else ():
+        while node.parent is not None and id(node.parent) not in holds:
+            node = node.parent
+            holds.add(id(node))
     for node in order:
         if node.words and (id(node) in holds or (node.words <= FRAME and 2 * size[id(node)] > unnamed)):
             node.dropped = False
 
 
-def _above(node: Node):
-    while node.parent is not None:
-        node = node.parent
-        yield node
-
-
-def _close(here: Node, tags, stop) -> Node:
-    up = here
-    while up.parent is not None and up.tag not in tags and up.tag not in stop:
-        up = up.parent
-    return up.parent if up.tag in tags and up.parent is not None else here
-
-
 def blocks(node: Node) -> list[tuple[str, Node, int]]:
     """(text, nearest block element, characters in links) of each block below node, in page order."""
     out: list[tuple[str, Node, int]] = []
@@ -159,7 +264,7 @@ def blocks(node: Node) -> list[tuple[str, Node, int]]:
     def flush(owner: Node) -> None:
         nonlocal linked
         if run:
-            text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+            text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
                 out.append((text, owner, linked))
             run.clear()
@@ -196,21 +301,33 @@ def path(node: Node) -> str:
 
 
 def best_container(root: Node) -> Node:
-    """The container whose blocks have most text outside links; an enclosing article or main is taken instead."""
-    score: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
+    """The container whose blocks have most text outside links; an enclosing article or main is taken instead.
+
+    A block counts in full for the nearest container and DAMPING as much for each one further out.
+    """
+    gains: dict[int, float] = {}
     for text, owner, linked in blocks(root):
-        gain = max(0, len(text) - 2 * linked) + (20 if owner.tag == "p" else 0)
-        share, up = 1.0, owner
-        while up is not None and up.parent is not None:
-            if up.tag in CONTAINER:
-                nodes[id(up)] = up
-                score[id(up)] = score.get(id(up), 0.0) + gain * share
-                share *= 0.6
-            up = up.parent
-    if not nodes:
+        gains[id(owner)] = gains.get(id(owner), 0.0) + max(0, len(text) - 2 * linked) + (20 if owner.tag == "p" else 0)
+    if not gains:
         return root
-    best = nodes[max(score, key=lambda i: (score[i], -len(path(nodes[i]))))]
+    order, depth, stack = [], {id(root): 0}, [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        for child in node.children:
+            if isinstance(child, Node) and not child.dropped:
+                depth[id(child)] = depth[id(node)] + 1
+                stack.append(child)
+    best, score = root, (-1.0, 0)
+    for node in reversed(order):  # children before their parents
+        own = gains.get(id(node))
+        if own is None or node.parent is None:
+            continue
+        if node.tag in CONTAINER:
+            if (own, -depth[id(node)]) >= score:  # of equals the outer, then the first on the page
+                best, score = node, (own, -depth[id(node)])
+            own *= DAMPING
+        gains[id(node.parent)] = gains.get(id(node.parent), 0.0) + own
     up = best
     while up.parent is not None:
         if up.tag in ("article", "main") or up.attributes.get("role") == "main":
