@@ -208,9 +208,11 @@ def test_quality_lines(spark):
     bodies = [prose(60) for _ in range(40)]
     texts = [f"{b}\n{notice}" for b in bodies] + [f"{notice}\n{notice.upper()} x{k}\n{notice.lower()}\n" * 6 + prose(12) for k in range(3)] + [prose(80)] * 60
     docs = table(spark, texts).withColumn("source", F.lit("one"))
-    rows = {r["doc_id"]: r for r in quality.judge(docs, text=True).withColumn("clean", quality.without_frequent_lines()).collect()}
+    rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in quality.cleaned(docs).collect()}
     for i in range(40):
-        assert rows[i]["kept"] and rows[i]["removed_words"] == 15 and rows[i]["clean"] == bodies[i]
+        assert rows[i]["kept"] and rows[i]["removed_words"] == 15 and clean[i] == bodies[i]
+    assert clean.keys() == {i for i, r in rows.items() if r["kept"]}
     assert not any(rows[i]["kept"] for i in range(40, 43))  # mostly notices
     assert all(rows[i]["kept"] and rows[i]["removed_words"] == 0 for i in range(43, 103))  # copies are one document
 

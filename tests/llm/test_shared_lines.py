@@ -26,3 +26,25 @@ def test_a_shared_line_goes_whatever_windows_it_owns(spark):
         rows += [(host * 100 + k, line + "\n" + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 900)), f"h{host}") for k in range(21)]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
     assert all(r["removed_words"] == 300 and r["kept"] for r in got)
+
+
+def test_a_line_as_long_as_its_documents_goes(spark):
+    """Documents of 30 words of their own and one shared line of 400: all lose the line and are depleted."""
+    rng = np.random.default_rng(5)
+    line = " ".join(f"s{x}" for x in rng.integers(0, 10**6, 400))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 30)) + "\n" + line for _ in range(200)]
+    for n in (60, 100, 200):
+        rows = quality.judge(table(spark, texts[:n]).withColumn("source", F.lit("one"))).collect()
+        assert [(r["removed_words"], r["kept"]) for r in rows] == [(400, False)] * n
+
+
+def test_names_of_the_input_never_meet_the_rules_own(spark):
+    """Input columns named like the rules' or like their inner ones: `cleaned` keeps them, `judge` puts its own in place."""
+    names = ["n_words", "kept", "removed_words", "removed", "host", "row", "doc", "marks", "h", "w", "m", "t", "docs", "n", "input", "a.b", "words"]
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "a", *range(len(names))), (2, None, None, *range(len(names)))], ["doc_id", "text", "source", *names])
+    kept = quality.cleaned(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "a", *range(len(names)))]
+    judged = {r["doc_id"]: r.asDict() for r in quality.judge(docs).collect()}
+    assert judged[1]["n_words"] == 60 and judged[1]["kept"] is True and judged[1]["removed_words"] == 0 and judged[1]["a.b"] == 15 and judged[1]["row"] == 5
+    assert judged[2]["kept"] is False
