@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from depthlane.llm import nearcopies, packing, pii, quality, toxicity
 from depthlane.runtime import materialise, table
@@ -15,10 +14,7 @@ from depthlane.runtime import materialise, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; from the others the lines above their host's limit go."""
-    kept = quality.judge(docs, text=True).where("kept").withColumn("text", quality.without_frequent_lines())
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return quality.cleaned(docs)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
