@@ -1,19 +1,26 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and their 4-grams of characters. Training keeps a bounded sample of labelled rows (EXAMPLES of either
-label at most, by a hash of doc_id, each at most LONGEST_EXAMPLE characters), selects the features whose presence depends
-on the label (chi-square), and weighs them by TF-IDF. Examples lie in blocks of an inverted index; each posting list has a
-maximum weight per block. A text's blocks are visited by falling upper bound until no block can hold a nearer example, so
-the NEIGHBOURS nearest are exact. Their labels vote with weight 1 / (distance + 0.05); a monotone map, fitted by pooling
-adjacent violators on the examples' own left-out votes, makes the vote a probability. Texts without a selected feature
-get the base rate of such texts. Whole texts are scored; the model has a fixed bound and goes to the executors as such.
-
-Null texts count as empty. Without labelled rows every score is 0. Repeated rows score alike. An empty table gives no
-rows. Other columns are never read.
+Features are all words of the examples, none left out. An example sample is bounded (EXAMPLES labelled rows of either label
+at most, by a hash of doc_id, each of at most LONGEST_EXAMPLE characters); texts that occur more than once are one example
+with the mean of their labels. A word weighs (1 + ln tf) * idf * association, the association being chi-square by label over
+the number of examples, in 0 to 1: words that occur with either label alike hardly weigh, though they count. (With plain
+idf the nearest examples are those of like subject, and no held-out toxic document of the test data scores over the threshold.)
+
+Examples lie in blocks of an inverted index; each word has its greatest weight per block. A text's blocks are visited by
+falling upper bound until no block can hold a nearer example, so the NEIGHBOURS nearest are exact. Their labels vote with
+weight 1 / (distance + 0.05); a monotone map, fitted by pooling adjacent violators on the examples' own left-out votes,
+makes the vote a probability. Texts without a known word get the base rate. Whole texts are scored, and equal texts alike:
+neither the choice among equally near examples nor anything else looks at doc_id. The model's size is bounded by that of
+the examples, and it goes to the executors as such.
+
+Null texts count as empty. Without labelled rows every score is 0. Repeated rows score alike; of a labelled doc_id that
+repeats with several texts the one of the least hash is the example. An empty table gives no rows. Other columns are never
+read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -28,73 +35,65 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .rows import key, keys, source
 
-EXAMPLES, LONGEST_EXAMPLE, FEATURES, LEAST_CHI, NEIGHBOURS, BLOCK, THRESHOLD, CACHE, SCORED = 2000, 20_000, 4096, 20.0, 15, 64, 0.7, 400_000, 10_000
+EXAMPLES, LONGEST_EXAMPLE, NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD, SCORED = 2000, 20_000, 15, 64, 4, 0.7, 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(word: str) -> list[str]:
-    padded = f" {word} "
-    return [word, *{"~" + padded[k : k + 4] for k in range(len(padded) - 3)}]
+def word_counts(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
 @dataclass
 class Model:
-    feature: dict[str, int]
-    idf: np.ndarray
-    start: np.ndarray  # by feature and block, into the postings
+    """Words with their weights, and the index: a cell is one word in one block, and holds a run of postings."""
+
+    word: dict[str, int]
+    weight: np.ndarray  # of each word
+    cells: np.ndarray  # by word: its first cell, and one past the last of all
+    cell_block: np.ndarray
+    cell_max: np.ndarray
+    postings: np.ndarray  # by cell: its first posting, and one past the last of all
     example: np.ndarray
-    weight: np.ndarray
-    block_max: np.ndarray  # feature x block
+    share: np.ndarray  # of a posting's word in its example's vector
     label: np.ndarray
-    doc_id: np.ndarray
+    doc_id: np.ndarray  # evidence only
     base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-    hits: dict[str, list[int]] = field(default_factory=dict)  # word -> its selected features, of words that have some
-    seen: set[str] = field(default_factory=set)
-    scored: dict = field(default_factory=dict)  # vector -> its score and evidence
+    scored: dict = field(default_factory=dict)  # digest of a text -> its score and evidence
 
     def __getstate__(self):
-        return self.__dict__ | {"hits": {}, "seen": set(), "scored": {}}
+        return self.__dict__ | {"scored": {}}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Selected features of a whole text and their weights, of length 1 together."""
-        found: Counter = Counter()
-        words = Counter(_WORD.findall(text.lower()))
-        if len(self.seen) >= CACHE:
-            self.seen.clear(), self.hits.clear()
-        new = words.keys() - self.seen
-        self.seen |= new
-        for word in new:
-            if own := [i for f in features_of(word) if (i := self.feature.get(f)) is not None]:
-                self.hits[word] = own
-        for word in words.keys() & self.hits.keys():
-            for i in self.hits[word]:
-                found[i] += words[word]
-        ids = np.array(sorted(found), dtype=np.int64)
-        weights = (1 + np.log([found[i] for i in ids])) * self.idf[ids] if len(ids) else np.zeros(0)
-        return ids, weights / np.sqrt((weights**2).sum()) if len(ids) else weights
+        """The known words of a whole text and their weights, of length 1 together."""
+        return unit(self.word, self.weight, word_counts(text))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine (ties: the lower index) and their cosines; those without a common feature are none."""
-        bound = weights @ self.block_max[ids]
+        """The k examples of greatest cosine (ties: the lower index) and their cosines; those without a common word are none."""
+        cells, factors = runs(self.cells, ids, weights)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, weights=factors * self.cell_max[cells], minlength=-(-len(self.label) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        n_blocks = len(bound)
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for a in range(0, n_blocks, 4):
-            blocks = order[a : a + 4]
-            blocks = blocks[bound[blocks] > 0]
-            if not len(blocks) or (len(cosines) == k and bound[blocks[0]] < cosines[-1] - 1e-12):
+        order = order[bound[order] > 0]
+        best, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
+        while at < len(order):
+            # first the most promising blocks, then all others that may still hold a nearer example
+            least = cosines[-1] if len(cosines) == k else 0.0
+            stop = at + FIRST_BLOCKS if not at else len(order)
+            visited = order[at:stop]
+            at, visited = stop, visited[bound[visited] >= least - 1e-9]
+            if not len(visited):
                 break
-            for b in blocks:
-                first, last = self.start[ids * n_blocks + b], self.start[ids * n_blocks + b + 1]
-                counts = last - first
-                at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                sums = np.bincount(self.example[at] - b * BLOCK, weights=self.weight[at] * np.repeat(weights, counts), minlength=BLOCK)
-                hit = np.flatnonzero(sums > 0)
-                best, cosines = np.concatenate([best, hit + b * BLOCK]), np.concatenate([cosines, sums[hit]])
+            taken = np.zeros(len(bound), bool)
+            taken[visited] = True
+            own = taken[block]
+            found, shares = runs(self.postings, cells[own], factors[own])
+            sums = np.bincount(self.example[found], weights=self.share[found] * shares, minlength=len(self.label))
             if without >= 0:
-                cosines, best = cosines[best != without], best[best != without]
-            top = np.lexsort((best, -np.round(cosines, 12)))[:k]
+                sums[without] = 0
+            hit = np.flatnonzero(sums > 0)
+            best, cosines = np.concatenate([best, hit]), np.concatenate([cosines, sums[hit]])
+            top = np.lexsort((best, -np.round(cosines, 9)))[:k]
             best, cosines = best[top], cosines[top]
         return best, cosines
 
@@ -104,19 +103,40 @@ class Model:
         return float((pull * self.label[best]).sum() / pull.sum()) if len(best) else 0.0, best, cosines
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        ids, weights = self.vector(text)
-        if not len(ids):
-            return self.base, [], []
-        place = (ids.tobytes(), weights.tobytes())
+        place = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         out = self.scored.get(place)
         if out is None:
-            vote, best, cosines = self.vote(ids, weights)
+            ids, weights = self.vector(text)
+            if len(ids):
+                vote, best, cosines = self.vote(ids, weights)
+                out = (float(np.interp(vote, *self.steps)), self.doc_id[best].tolist(), cosines.tolist())
+            else:
+                out = (self.base, [], [])
             if len(self.scored) >= SCORED:
                 self.scored.clear()
-            out = self.scored[place] = (float(np.interp(vote, *self.steps)), self.doc_id[best].tolist(), cosines.tolist())
+            self.scored[place] = out
         return out
 
 
+def runs(first: np.ndarray, of: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members first[i] to first[i + 1] of each i in `of`, and i's factor for each."""
+    start = first[of]
+    counts = first[of + 1] - start
+    return np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()), np.repeat(factor, counts)
+
+
+def unit(word: dict[str, int], weight: np.ndarray, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the known words, in the order of counts, and their weights scaled to length 1; none of weight 0."""
+    get = word.get
+    known = [(i, n) for w, n in counts.items() if (i := get(w)) is not None]
+    if not known:
+        return np.zeros(0, np.int64), np.zeros(0)
+    ids, times = np.array(known, dtype=np.int64).T
+    weights = (1 + np.log(times)) * weight[ids]
+    ids, weights = ids[weights > 0], weights[weights > 0]
+    return ids, weights / np.sqrt(weights @ weights) if len(ids) else weights
+
+
 def _pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression of y on x by pooling adjacent violators; points for linear interpolation."""
     order = np.argsort(x, kind="stable")
@@ -136,53 +156,45 @@ def _pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
 
 def fit(examples: list[tuple[int, str, int]], rates: tuple[float, float] = (1.0, 1.0)) -> Model:
     """From (doc_id, text, label); rates: labelled rows per example of label 0 and 1, for calibration."""
-    texts: dict[str, tuple[int, str, int]] = {}
-    for row in sorted(examples, key=lambda r: r[0]):
-        texts.setdefault(row[1], row)  # copies would be each other's neighbours
-    rows = list(texts.values())
-    label = np.array([r[2] for r in rows], dtype=np.float64)
-    present: tuple[Counter, Counter] = (Counter(), Counter())
-    cached: dict[str, list[str]] = {}
-    for _, text, toxic in rows:
-        own = {f for w in set(_WORD.findall(text.lower())) for f in cached.setdefault(w, features_of(w))}
-        present[toxic].update(own)
-    n1 = float(label.sum())
-    n0 = len(rows) - n1
-    chosen = []
-    for f in present[0].keys() | present[1].keys():
-        a, b = present[1][f], present[0][f]
-        if a + b < 4 or not n1 or not n0:
-            continue
-        n, on = n0 + n1, a + b
-        chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * on * (n - on)) if n > on else 0.0
-        if chi >= LEAST_CHI:
-            chosen.append((-chi, f, on))
-    chosen.sort()
-    chosen = chosen[:FEATURES]
-    feature = {f: i for i, (_, f, _) in enumerate(chosen)}
-    idf = np.array([np.log(1 + len(rows) / on) for _, _, on in chosen])
-    n_blocks = max(1, -(-len(rows) // BLOCK))
-    # examples of like labels and features share blocks, which keeps the bounds tight
-    model = Model(feature, idf, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(chosen), n_blocks)), label, np.zeros(0, np.int64))
-    vectors = [model.vector(text) for _, text, _ in rows]
-    order = sorted(range(len(rows)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, rows[i][0]))
+    copies: dict[str, list[tuple[int, int]]] = {}
+    for doc_id, text, toxic in examples:
+        copies.setdefault(text, []).append((doc_id, toxic))
+    texts = sorted(copies)  # copies would be each other's neighbours
+    label = np.array([sum(t for _, t in copies[x]) / len(copies[x]) for x in texts])
+    counts = [word_counts(t) for t in texts]
+    words = sorted(set().union(*counts))
+    word = {w: i for i, w in enumerate(words)}
+    n, n1 = len(texts), float(label.sum())
+    n0, on, on1 = n - n1, np.zeros(len(words)), np.zeros(len(words))
+    for own, y in zip(counts, label):
+        ids = np.fromiter((word[w] for w in own), np.int64, len(own))
+        on[ids] += 1
+        on1[ids] += y
+    other = n1 * n0 * on * (n - on)
+    association = np.divide((on1 * (n0 - (on - on1)) - (on - on1) * (n1 - on1)) ** 2, other, out=np.zeros(len(words)), where=other > 0)
+    weight = np.log(1 + n / np.maximum(on, 1)) * association
+    vectors = [unit(word, weight, c) for c in counts]
+    # examples with the same heaviest word share blocks, which keeps the bounds tight
+    order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
     vectors, label = [vectors[i] for i in order], label[order]
-    owner = np.concatenate([np.full(len(v[0]), e) for e, v in enumerate(vectors)] or [np.zeros(0)]).astype(np.int64)
+    example = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
     ids = np.concatenate([v[0] for v in vectors] or [np.zeros(0)]).astype(np.int64)
-    weights = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-    cell = ids * n_blocks + owner // BLOCK
-    by = np.argsort(cell, kind="stable")
-    model.start = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(chosen) * n_blocks))]).astype(np.int64)
-    model.example, model.weight, model.label = owner[by], weights[by], label
-    model.doc_id = np.array([rows[i][0] for i in order], dtype=np.int64)
-    np.maximum.at(model.block_max.reshape(-1), cell, weights)
-    share = np.where(label == 1, rates[1], rates[0])
-    empty = np.array([not len(v[0]) for v in vectors], dtype=bool)
-    if empty.any():
-        model.base = float((share * label)[empty].sum() / share[empty].sum())
-    votes = np.array([model.vote(*v, without=e)[0] for e, v in enumerate(vectors)])
-    if (~empty).any():
-        model.steps = _pooled(votes[~empty], label[~empty], share[~empty])
+    share = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
+    n_blocks = max(1, -(-n // BLOCK))
+    place = ids * n_blocks + example // BLOCK
+    by = np.argsort(place, kind="stable")
+    cells, first = np.unique(place[by], return_index=True)
+    model = Model(
+        word, weight, np.searchsorted(cells, np.arange(len(words) + 1) * n_blocks), cells % n_blocks, np.maximum.reduceat(share[by], first) if len(first) else np.zeros(0),
+        np.append(first, len(by)), example[by], share[by], label, np.array([min(d for d, _ in copies[texts[i]]) for i in order], dtype=np.int64),
+    )
+    rate = label * rates[1] + (1 - label) * rates[0]
+    if n:
+        model.base = float((rate * label).sum() / rate.sum())
+    known = np.array([len(v[0]) > 0 for v in vectors], dtype=bool)
+    if known.any():
+        votes = np.array([model.vote(*v, without=e)[0] for e, v in enumerate(vectors)])
+        model.steps = _pooled(votes[known], label[known], rate[known])
     else:
         model.steps = (np.array([0.0, 1.0]), np.array([model.base, model.base]))
     return model
@@ -198,7 +210,9 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> tuple[list[tuple[i
         part = own.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"text is not null and char_length(text) <= {LONGEST_EXAMPLE}")
-    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").limit(2 * EXAMPLES).collect()]
+    # at most 2 * EXAMPLES rows, whatever the number of rows with one doc_id
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in found.collect()]
     n = Counter(r[2] for r in rows)
     return rows, tuple(total.get(k, 0) / n[k] if n[k] else 1.0 for k in (0, 1))
 

@@ -306,20 +306,75 @@ def examples(n, seed=0):
     return out
 
 
+def brute_toxicity(train, rates, texts):
+    """Scores from the raw texts by the definition: every cosine, every vote, and the calibration by its min-max formula."""
+    merged = collections.defaultdict(list)
+    for _, text, y in train:
+        merged[text].append(y)
+    rows = [(collections.Counter(re.findall(r"[^\W\d_]+", t.lower())), sum(y) / len(y)) for t, y in sorted(merged.items())]
+    n, n1 = len(rows), sum(y for _, y in rows)
+    weight = {}
+    for w in set().union(*[c for c, _ in rows]):
+        with_, toxic = sum(w in c for c, _ in rows), sum(y for c, y in rows if w in c)
+        table = [[toxic, with_ - toxic], [n1 - toxic, n - n1 - with_ + toxic]]
+        phi = table[0][0] * table[1][1] - table[0][1] * table[1][0]
+        below = n1 * (n - n1) * with_ * (n - with_)
+        weight[w] = np.log(1 + n / with_) * (phi**2 / below if below else 0)
+
+    def vector(counts):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in counts.items() if weight.get(w, 0) > 0}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    own = [(vector(c), y) for c, y in rows]
+
+    def vote(v, without=None):
+        near = sorted((sum(x * e.get(w, 0) for w, x in v.items()) for k, (e, _) in enumerate(own) if k != without), reverse=True)
+        least = round(near[toxicity.NEIGHBOURS - 1], 9)
+        assert least > round(near[toxicity.NEIGHBOURS], 9) or least == 0, "no ties here, please"
+        found = [(c, y) for k, (e, y) in enumerate(own) if k != without and (c := sum(x * e.get(w, 0) for w, x in v.items())) > 0 and round(c, 9) >= least]
+        pull = [1 / (max(0, 1 - c) + 0.05) for c, _ in found]
+        return sum(p * y for p, (_, y) in zip(pull, found)) / sum(pull) if found else 0.0
+
+    points = sorted((vote(v, k), y, y * rates[1] + (1 - y) * rates[0]) for k, (v, y) in enumerate(own) if v)
+    xs = sorted({x for x, _, _ in points})
+    sums = [(sum(y * r for x, y, r in points if x == u), sum(r for x, _, r in points if x == u)) for u in xs]
+    mean = lambda a, b: sum(s for s, _ in sums[a:b]) / sum(r for _, r in sums[a:b])
+    fitted = [max(min(mean(a, b) for b in range(i + 1, len(xs) + 1)) for a in range(i + 1)) for i in range(len(xs))]
+    base = sum(y * (y * rates[1] + (1 - y) * rates[0]) for _, y in rows) / sum(y * rates[1] + (1 - y) * rates[0] for _, y in rows)
+    return [float(np.interp(vote(v), xs, fitted)) if (v := vector(collections.Counter(re.findall(r"[^\W\d_]+", t.lower())))) else base for t in texts]
+
+
+def test_scores_against_every_cosine():
+    """Texts of different lengths, so that no two cosines are equal; repeated texts with either label among them."""
+    rng = np.random.default_rng(4)
+    spelt = str.maketrans("0123456789", "abcdefghij")  # words have no digits
+    train = [(i, (t + f" own{i} " * int(rng.integers(1, 9)) + " word7" * int(rng.integers(0, 30))).translate(spelt), y) for i, t, y in examples(160)]
+    train += [(900 + i, t, 1 - y) for i, t, y in train[:9]] + [(990, train[20][1], train[20][2])]
+    texts = ["", "nothing known", "vilefoo", "wordb wordb vilefoo wordc"] + [t.translate(spelt) for _, t, _ in examples(40, 1)] + [t for _, t, _ in train[:12]]
+    model = toxicity.fit([train[i] for i in rng.permutation(len(train))], (3.0, 1.0))
+    assert np.allclose([model.score(t)[0] for t in texts], brute_toxicity(train, (3.0, 1.0), texts), atol=1e-6)
+    renamed = toxicity.fit([(5000 - i, t, y) for i, t, y in train], (3.0, 1.0))
+    assert [renamed.score(t)[0] for t in texts] == [model.score(t)[0] for t in texts]  # doc_id is no input
+
+
 def test_nearest_examples_are_exact():
-    model = toxicity.fit(examples(600))
-    dense = np.zeros((len(model.label), len(model.idf)))
-    n_blocks = model.block_max.shape[1]
-    for f in range(len(model.idf)):
-        for b in range(n_blocks):
-            s = slice(model.start[f * n_blocks + b], model.start[f * n_blocks + b + 1])
-            dense[model.example[s], f] = model.weight[s]
+    """The index against the dense product of vectors that are made from the raw texts; ties to the lower index."""
+    spelt = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, t.translate(spelt), y) for i, t, y in examples(600)]
+    model = toxicity.fit(rows)
+    place = {d: k for k, d in enumerate(model.doc_id.tolist())}
+    dense = np.zeros((len(place), len(model.word)))
+    for i, text, _ in rows:
+        counts = collections.Counter(text.split())
+        ids = [model.word[w] for w in counts]
+        v = (1 + np.log(list(counts.values()))) * model.weight[ids]
+        dense[place[i], ids] = v / np.linalg.norm(v)
     for _, text, _ in examples(40, 1):
-        ids, weights = model.vector(text)
-        if len(ids):
-            cosine = dense[:, ids] @ weights
-            order = [i for i in np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12))) if cosine[i] > 0][: toxicity.NEIGHBOURS]
-            assert model.nearest(ids, weights)[0].tolist() == order
+        ids, weights = model.vector(text.translate(spelt))
+        cosine = dense[:, ids] @ weights
+        order = [i for i in np.lexsort((np.arange(len(cosine)), -np.round(cosine, 9))) if cosine[i] > 0][: toxicity.NEIGHBOURS]
+        assert model.nearest(ids, weights)[0].tolist() == order
 
 
 def test_toxicity(spark):
