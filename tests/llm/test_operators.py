@@ -464,11 +464,11 @@ def test_pii_is_a_permutation_without_fixed_points():
 def test_pii_table(spark):
     texts = [*PRIVATE, None, "", "clean text", *PRIVATE[:2]]
     docs = table(spark, texts)
-    rows = {r["doc_id"]: r for r in pii.entities(docs).collect()}
+    rows = {r["doc_id"]: r for r in pii.entities(docs, "k").collect()}
     assert rows[11]["text"] is None and rows[12]["text"] == "" and rows[13]["text"] == "clean text" and rows[13]["n_entities"] == 0
     assert rows[0]["text"] == rows[14]["text"]
-    redacted = pii.redact(docs)
+    redacted = pii.redact(docs, "k")
     assert redacted.columns == docs.columns and {r["doc_id"]: r["text"] for r in redacted.collect()} == {i: r["text"] for i, r in rows.items()}
-    assert pii.entities(empty(spark)).count() == 0 and pii.redact(odd_table(spark)).count() == len(TEXTS) + 10
+    assert pii.entities(empty(spark), "k").count() == 0 and pii.redact(odd_table(spark), "k").count() == len(TEXTS) + 10
     pairs = spark.createDataFrame([("ip", f"1.2.{i}.{j}", pii.surrogate(b"k", "ip", f"1.2.{i}.{j}")) for i in range(20) for j in range(20)], "type string, original string, surrogate string")
     assert pii.collisions(pairs).count() == 0

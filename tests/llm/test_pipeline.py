@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from depthlane.llm import pii, toxicity
+from depthlane.llm import pii, queries, toxicity
 from depthlane.runtime import table
 from tests.llm.test_operators import brute_components, brute_fingerprint, brute_quality, check_packed
 
@@ -17,7 +17,7 @@ def test_pipeline(spark, sf_dir):
     model = toxicity.fit(rows, rates)
     kept = {i: t for i, t in kept.items() if model.score(t)[0] < toxicity.THRESHOLD}
     kept = {i: kept[i] for i in set(brute_components({i: brute_fingerprint(t) for i, t in kept.items()}).values())}
-    kept = {i: pii.redact_text(t, pii.DEFAULT_KEY.encode())[0] for i, t in kept.items()}
+    kept = {i: pii.redact_text(t, queries.TEST_KEY.encode())[0] for i, t in kept.items()}
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in got} == set(kept)
     check_packed(got, kept)
