@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from depthlane.llm import nearcopies, packing, pii, quality, toxicity
+from depthlane.llm.queries import pii_key
 from depthlane.runtime import materialise, table
 
 
@@ -29,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    return pii.redact(docs, pii_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
