@@ -1,14 +1,18 @@
-"""Near copies of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
+"""Near copies at a similarity: operator 2 as the pipeline applies it, with five-word shingles and Jaccard SIMILAR or more.
 
-Equal sets are one node. Candidates share at least one of BANDS bands of ROWS minhash values; a pair at similarity s meets
-with probability 1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8. A star over each band's bucket joins candidates to groups, and within
-a group all pairs are compared by their whole shingle sets, in cells of two blocks of bounded size, so a group of any size is
-dealt over many tasks. Pairs that a cell has already connected are not compared again. A radius over SimHash fingerprints
-does not serve here: pairs at 0.8 differ in up to 17 of 64 bits on the test data, where distances to a vantage point
-(about 32 +- 4) rule nothing out.
+Equal shingle sets are one node. Candidate links come from the vantage-point trees over the nodes' fingerprints (3 bits or
+fewer apart), and, as pairs at 0.8 differ in up to 17 of 64 bits on the test data, where distances to a vantage point
+(about 32 +- 4) rule nothing out, also from BANDS bands of ROWS minhash values: a pair at similarity s meets with probability
+1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8. Within a band's bucket nodes link to the least of their part of the bucket (one of
+PARTS by hash), and those to the least of the bucket, so that no bucket lands in one task.
+
+Links count by whole shingle sets only. Candidate links are compared first; that settles a group of copies of one document
+in time linear in its size. Where candidates join nodes that this leaves apart, all nodes outside the largest part of their
+group are compared with all others of the group, in cells of two blocks of bounded size, dealt over many tasks.
 
 Null texts count as empty; documents without words are one node. Fewer than five words are one shingle. Rows without doc_id
-all stay: no decision can name them, though they may connect others. An empty table gives no rows.
+all stay: no decision can name them, though they may connect others. An empty table gives no rows. Other columns pass
+through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, ship
+from ..runtime import discard, materialise, ship
 from .rows import keys
-from .simhash import _LOWER, components
+from .simhash import _LOWER, components, links, majority
 
-SIMILAR, SHINGLE, BANDS, ROWS, SEED, BLOCK = (4, 5), 5, 32, 6, 42, 128
+SIMILAR, SHINGLE, BANDS, ROWS, SEED, BLOCK, PARTS = (4, 5), 5, 32, 6, 42, 128, 256
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -59,22 +63,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return under * both >= over * (len(a) + len(b) - both)
 
 
+_SETS = "doc_id long, t long, node long, fp long, bands array<long>, shingles array<long>"
+
+
 def _sets(frames):
     for frame in frames:
         found = [shingles(t if isinstance(t, str) else None) for t in frame["text"]]
         names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "t": frame["t"], "node": names, "bands": [bands(s) for s in found]})
+        prints = np.array([majority(s) if len(s) else 0 for s in found], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "t": frame["t"], "node": names, "fp": prints, "bands": [bands(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
 
 
 def _links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect all similar pairs of one cell; those within a block only in the cell of that block with itself."""
-    frame = frame.sort_values("node")
-    nodes, block, found = frame["node"].to_numpy(), frame["block"].to_numpy(), [shingles(t) for t in frame["text"]]
-    one = bool((frame["i"] == frame["j"]).all())
-    label, out = np.arange(len(nodes)), []
-    for a in range(len(nodes)):
-        for b in range(a + 1, len(nodes)):
-            if label[a] != label[b] and (one or block[a] != block[b]) and similar(found[a], found[b]):
+    """Links that connect all similar pairs of an outer and an inner node of one cell that are not connected yet."""
+    nodes, inner = frame["node"].to_numpy(), frame["inner"].to_numpy()
+    found = [np.sort(np.asarray(s, dtype=np.int64)) for s in frame["shingles"]]
+    _, label = np.unique(frame["label"].to_numpy(), return_inverse=True)
+    out = []
+    for a in np.flatnonzero(~inner):
+        for b in np.flatnonzero(inner):
+            if label[a] != label[b] and nodes[a] != nodes[b] and similar(found[a], found[b]):
                 label[label == label[b]] = label[a]
                 out.append((max(nodes[a], nodes[b]), min(nodes[a], nodes[b])))
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
@@ -85,30 +93,62 @@ def _named(roots: DataFrame, name: str) -> DataFrame:
     return roots.select("node", F.col("root").alias(name)).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias(name))).distinct()
 
 
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that connect all that share a band or have near fingerprints."""
+    least = lambda *by: F.min("node").over(Window.partitionBy(*by))
+    buckets = nodes.select("node", F.explode("bands").alias("band")).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    stars = buckets.withColumn("v", least("band", "part"))
+    tops = stars.where("node = v").withColumn("v", least("band"))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("v"))
+    near = links(prints.select("fp"))
+    same = nodes.join(prints, "fp").select("node", "v")
+    near = near.join(prints.select(F.col("fp").alias("u"), F.col("v").alias("node")), "u").join(prints.select(F.col("fp").alias("v"), F.col("v").alias("w")), "v").select("node", F.col("w").alias("v"))
+    pairs = stars.select("node", "v").unionByName(tops.select("node", "v")).unionByName(same).unionByName(near).where("node <> v")
+    return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+
+
+def _compared(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are similar by their whole sets."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"), F.size("shingles").alias(f"{name}_n"))
+    over, under = SIMILAR
+    met = pairs.join(side("u"), "u").join(side("v"), "v").where(f"{under} * least(u_n, v_n) >= {over} * greatest(u_n, v_n)")
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    return met.where(under * both >= over * (F.col("u_n") + F.col("v_n") - both)).select("u", "v")
+
+
+def _rest(nodes: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Similar pairs of each group between nodes that the candidates' own links have not connected."""
+    named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = named.groupBy("part", "label").agg(F.count("*").alias("n"))
+    split = parts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    # outer nodes, those outside the largest part, meet every node of the group
+    blocks = split.select("part", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("outer"), F.ceil(F.col("n") / BLOCK).alias("inner"))
+    members = named.join(blocks, "part").join(nodes.select("node", "shingles"), "node").withColumn("own", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = members.select("part", every("outer").alias("i"), F.expr("pmod(own, inner)").alias("j"), "node", "label", "shingles", F.lit(True).alias("inner"))
+    outer = members.where("label <> main").select("part", F.expr("pmod(own, outer)").alias("i"), every("inner").alias("j"), "node", "label", "shingles", F.lit(False).alias("inner"))
+    return held.unionByName(outer).groupBy("part", "i", "j").applyInPandas(_links, "u long, v long")
+
+
 def representatives(documents: DataFrame) -> DataFrame:
     """The rows of documents, all columns, that stay: one for each component, of the least doc_id, then the least text hash."""
     ship(documents.sparkSession)
-    columns = documents.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    found = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sets, "doc_id long, t long, node long, bands array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    found = materialise(rows.mapInPandas(_sets, _SETS), "near-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least")
-    nodes = materialise(materialise(found, "near-sets").groupBy("node").agg(least, F.first("bands").alias("bands")), "near-nodes")
-
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    stars = buckets.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("v < top").select("band", "v")
-    groups = _named(components(buckets.join(stars, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()), "part")
-    sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = groups.join(sizes, "part").join(nodes.select("node", "least.doc_id", "least.t"), "node").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    members = members.select(F.col("doc_id").alias("id"), F.col("t").alias("at"), "part", "node", "block", "blocks")
-    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["id"]) & (rows["t"] == members["at"])).dropDuplicates(["node"])
-    cells = texts.select("part", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
-    roots = _named(components(cells.groupBy("part", "i", "j").applyInPandas(_links, "u long, v long")), "root")
+    sets = F.min_by(F.struct("fp", "bands", "shingles"), "t").alias("s")
+    nodes = materialise(found.groupBy("node").agg(least, sets).select("node", "least", "s.*"), "near-nodes")
+    discard(found)
+
+    pairs = materialise(_candidates(nodes), "near-pairs")
+    links_ = materialise(_compared(nodes, pairs), "near-links")
+    labels = _named(components(links_), "label")
+    more = _rest(nodes, _named(components(pairs), "part"), labels)
+    roots = _named(components(links_.unionByName(more)), "root")
 
     kept = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    kept = kept.where("not least.none").select(F.col("least.doc_id").alias("_s_id"), F.col("least.t").alias("_s_t")).distinct()
-    marked = documents.withColumns({"_s_id": F.col("doc_id").cast("long"), "_s_t": F.xxhash64(text)}).join(kept, ["_s_id", "_s_t"], "left_semi")
-    whole = F.struct(*columns)
-    stay = marked.groupBy("_s_id", "_s_t").agg(F.min_by(whole, whole).alias("_s_row")).select("_s_row.*")
-    return stay.unionByName(documents.where("doc_id is null"))
+    kept = kept.where("not least.none").select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("at")).distinct()
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("at"))
+    stay = whole.where("id is not null").join(kept, ["id", "at"], "left_semi").groupBy("id", "at").agg(F.min_by("row", "row").alias("row"))
+    return stay.select("row.*").unionByName(documents.where(F.col("doc_id").isNull()))

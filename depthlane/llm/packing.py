@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, ship
+from ..runtime import discard, materialise, ship
 from .rows import key, source
 from .tokens import SegmentIds
 
-SEQUENCE, GRAIN, END_ID, BUCKETS, KEPT_BUCKETS, AXIS = 2048, 16, 1, 128, 8, 4096
+SEQUENCE, GRAIN, END_ID, BUCKETS, KEPT_BUCKETS, AXIS = 2048, 16, 1, 128, 32, 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODED = (
     "pid int, doc_id long, n_tokens long, chunk_crcs array<long>, rem int, rem_crc long, cls int, "
@@ -215,7 +215,8 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, *,
         fill = min(BUCKETS, fill + max(1, int(need)))
         patterns, n_sequences, free = planned(fill)
     have = sum(tokens[b] for b in range(fill))
-    if fill > kept:
+    if fill > kept:  # a quarter of the documents does not do, as where most are just over half a sequence
+        discard(rows)
         rows = encoded(fill)
     extra = -(-max(0, have - free) // sequence_length)
 
@@ -249,9 +250,12 @@ def _filled(rows, placed, fill, n_sequences, extra, free, tokens, length) -> Dat
     """Pieces of the filler documents: their axis of ids is cut along the axis of free places."""
     spark = rows.sparkSession
     used = placed.groupBy("sequence_id").agg(F.sum("rem").alias("used")).withColumn("block", F.expr("sequence_id div 256"))
-    blocks = used.groupBy("block").agg(F.sum(F.lit(length) - F.col("used")).alias("free"))
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", F.coalesce(F.sum("free").over(earlier), F.lit(0)).alias("block_at"))
+    # places before a block: those of the 4,096 blocks around it, and of the spans of a million sequences before them
+    blocks = used.groupBy("block").agg(F.sum(F.lit(length) - F.col("used")).alias("free")).withColumn("span", F.expr("block div 4096"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = blocks.groupBy("span").agg(F.sum("free").alias("n")).select("span", F.coalesce(F.sum("n").over(upto(Window.orderBy("span"))), F.lit(0)).alias("span_at"))
+    in_span = F.coalesce(F.sum("free").over(upto(Window.partitionBy("span").orderBy("block"))), F.lit(0))
+    blocks = blocks.withColumn("at_span", in_span).join(spans, "span").select("block", (F.col("at_span") + F.col("span_at")).alias("block_at"))
     inside = Window.partitionBy("block").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
     gaps = (
         used.withColumn("at", F.coalesce(F.sum(F.lit(length) - F.col("used")).over(inside), F.lit(0))).join(blocks, "block")

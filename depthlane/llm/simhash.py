@@ -7,7 +7,7 @@ vantage value to the left, the others to the right. Every distinct fingerprint i
 queries all leaves that its ball of radius 1 reaches; the triangle bound rules out the rest. Leaves are shards: a task
 holds one block of a shard's stored fingerprints and one block of its queries, both of bounded size, compares them exactly
 over all 64 bits and returns a spanning forest of its links. Components follow by alternating large-star and small-star
-steps over tables in the shared folder.
+steps over tables in the shared folder, each deleted once the next is written; the edges of hubs are joined by broadcast.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Repeated rows share a
 fingerprint. An empty table gives no rows. Other columns are ignored.
@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, ship
+from ..runtime import discard, materialise, ship
 from .rows import keys, source
 
-LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK, SAMPLED = 3, 3, 42, 512, 65_536, 2048, 8
+LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK, SAMPLED, HUB, HUBS = 3, 3, 42, 512, 65_536, 2048, 8, 256, 10_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -47,6 +47,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits that over half of them have."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _fingerprints(frames):
     for frame in frames:
         found = np.array([fingerprint(t if isinstance(t, str) else None) for t in frame["text"]], dtype=np.uint64)
@@ -194,23 +200,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("cell").applyInPandas(_links, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(node, root) for every node of the edges, root being the least node reachable."""
-    state = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    seen = None
-    for _ in range(most):
+def _least(edges: DataFrame, hub: int) -> DataFrame:
+    """edges (u, v) with m, the least of u and its neighbours. Nodes of more than `hub` edges, 2 * HUBS at most, are joined
+    by broadcast, so that no key brings more edges into one task."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    marked = edges.join(F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub"))), "u", "left")
+    light = marked.where("hub is null").join(low.where(F.col("n") <= hub), "u").select("u", "v", "m")
+    return light.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges, root being the least node reachable, in a logarithmic number of rounds."""
+    state = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
+    n, seen = state.count(), None
+    while True:
+        hub = max(HUB, 2 * n // HUBS)
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        state = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        large = _least(both, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _least(large, hub).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        after = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        discard(state)
+        state = after
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
-    raise RuntimeError(f"components did not settle in {most} rounds")
+        n, seen = now[0], now
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
