@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -69,3 +70,10 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of plans that are done with: it does so only once the driver's
+    collectors have found their owners, which on a heap with room to grow may be long after."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
