@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialise, ship
+from ..runtime import discard, materialise, release, ship
 from .rows import keys
 from .simhash import _LOWER, components, links, majority
 
@@ -63,28 +63,32 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return under * both >= over * (len(a) + len(b) - both)
 
 
-_SETS = "doc_id long, t long, node long, fp long, bands array<long>, shingles array<long>"
+_MARKS = "doc_id long, t long, node long, fp long, bands array<long>"
 
 
-def _sets(frames):
+def _marks(frames):
     for frame in frames:
         found = [shingles(t if isinstance(t, str) else None) for t in frame["text"]]
         names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64).view(np.int64)
         prints = np.array([majority(s) if len(s) else 0 for s in found], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "t": frame["t"], "node": names, "fp": prints, "bands": [bands(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
+        yield pd.DataFrame({"doc_id": keys(frame["doc_id"]), "t": frame["t"], "node": names, "fp": prints, "bands": [bands(s) for s in found]})
+
+
+def _sets(frames):
+    for frame in frames:
+        yield pd.DataFrame({"node": frame["node"], "shingles": [shingles(t).view(np.int64) for t in frame["text"]]})
 
 
 def _links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect all similar pairs of an outer and an inner node of one cell that are not connected yet."""
-    nodes, inner = frame["node"].to_numpy(), frame["inner"].to_numpy()
-    found = [np.sort(np.asarray(s, dtype=np.int64)) for s in frame["shingles"]]
-    _, label = np.unique(frame["label"].to_numpy(), return_inverse=True)
-    out = []
+    """Pairs of labels that connect all similar pairs of an outer and an inner node of one cell."""
+    inner, found = frame["inner"].to_numpy(), [np.sort(np.asarray(s, dtype=np.int64)) for s in frame["shingles"]]
+    names, label = np.unique(frame["label"].to_numpy(), return_inverse=True)
+    root, out = np.arange(len(names)), []
     for a in np.flatnonzero(~inner):
         for b in np.flatnonzero(inner):
-            if label[a] != label[b] and nodes[a] != nodes[b] and similar(found[a], found[b]):
-                label[label == label[b]] = label[a]
-                out.append((max(nodes[a], nodes[b]), min(nodes[a], nodes[b])))
+            if root[label[a]] != root[label[b]] and similar(found[a], found[b]):
+                root[root == root[label[b]]] = root[label[a]]
+                out.append((max(names[label[a]], names[label[b]]), min(names[label[a]], names[label[b]])))
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
@@ -107,26 +111,28 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
-def _compared(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that are similar by their whole sets."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"), F.size("shingles").alias(f"{name}_n"))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"), F.size("shingles").alias(f"{name}_n"))
     over, under = SIMILAR
     met = pairs.join(side("u"), "u").join(side("v"), "v").where(f"{under} * least(u_n, v_n) >= {over} * greatest(u_n, v_n)")
     both = F.size(F.array_intersect("u_set", "v_set"))
     return met.where(under * both >= over * (F.col("u_n") + F.col("v_n") - both)).select("u", "v")
 
 
-def _rest(nodes: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Similar pairs of each group between nodes that the candidates' own links have not connected."""
-    named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = named.groupBy("part", "label").agg(F.count("*").alias("n"))
-    split = parts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+def _rest(sets: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of labels that are similar though no candidate pair of theirs is. Only labels that candidates join are looked at."""
+    label = lambda node: F.coalesce("label", node)
+    apart = pairs.join(labels, F.col("u") == F.col("node"), "left").select(label("u").alias("a"), "v").join(labels, F.col("v") == F.col("node"), "left").select("a", label("v").alias("b"))
+    groups = _named(components(apart.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")), "part").withColumnRenamed("node", "label")
+    named = sets.select("node").join(labels, "node", "left").select("node", label("node").alias("label")).join(groups, "label")
+    split = named.groupBy("part", "label").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     # outer nodes, those outside the largest part, meet every node of the group
     blocks = split.select("part", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("outer"), F.ceil(F.col("n") / BLOCK).alias("inner"))
-    members = named.join(blocks, "part").join(nodes.select("node", "shingles"), "node").withColumn("own", F.xxhash64("node"))
+    members = named.join(blocks, "part").join(sets, "node").withColumn("own", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = members.select("part", every("outer").alias("i"), F.expr("pmod(own, inner)").alias("j"), "node", "label", "shingles", F.lit(True).alias("inner"))
-    outer = members.where("label <> main").select("part", F.expr("pmod(own, outer)").alias("i"), every("inner").alias("j"), "node", "label", "shingles", F.lit(False).alias("inner"))
+    held = members.select("part", every("outer").alias("i"), F.expr("pmod(own, inner)").alias("j"), "label", "shingles", F.lit(True).alias("inner"))
+    outer = members.where("label <> main").select("part", F.expr("pmod(own, outer)").alias("i"), every("inner").alias("j"), "label", "shingles", F.lit(False).alias("inner"))
     return held.unionByName(outer).groupBy("part", "i", "j").applyInPandas(_links, "u long, v long")
 
 
@@ -135,17 +141,23 @@ def representatives(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    found = materialise(rows.mapInPandas(_sets, _SETS), "near-sets")
+    found = materialise(rows.mapInPandas(_marks, _MARKS), "near-marks")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least")
-    sets = F.min_by(F.struct("fp", "bands", "shingles"), "t").alias("s")
-    nodes = materialise(found.groupBy("node").agg(least, sets).select("node", "least", "s.*"), "near-nodes")
+    nodes = materialise(found.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
     discard(found)
 
+    # sets are made again, of one document for each node that has a candidate: far fewer than all
     pairs = materialise(_candidates(nodes), "near-pairs")
-    links_ = materialise(_compared(nodes, pairs), "near-links")
+    met = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
+    members = materialise(nodes.join(met, F.col("node") == F.col("u"), "left_semi").select("node", F.col("least.doc_id").cast("string").alias("id"), F.col("least.t").alias("at")), "near-members")
+    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["id"]) & (rows["t"] == members["at"])).select("node", "text")
+    sets = materialise(texts.mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    links_ = materialise(_compared(sets, pairs), "near-links")
+    release(documents.sparkSession)
     labels = _named(components(links_), "label")
-    more = _rest(nodes, _named(components(pairs), "part"), labels)
-    roots = _named(components(links_.unionByName(more)), "root")
+    tops = _named(components(_rest(sets, pairs, labels)), "root")
+    roots = labels.join(tops.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    roots = roots.unionByName(tops.join(labels.select("node"), "node", "left_anti"))  # nodes that were labels of their own
 
     kept = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     kept = kept.where("not least.none").select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("at")).distinct()

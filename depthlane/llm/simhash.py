@@ -7,7 +7,8 @@ vantage value to the left, the others to the right. Every distinct fingerprint i
 queries all leaves that its ball of radius 1 reaches; the triangle bound rules out the rest. Leaves are shards: a task
 holds one block of a shard's stored fingerprints and one block of its queries, both of bounded size, compares them exactly
 over all 64 bits and returns a spanning forest of its links. Components follow by alternating large-star and small-star
-steps over tables in the shared folder, each deleted once the next is written; the edges of hubs are joined by broadcast.
+steps over tables in the shared folder, each deleted once the next is written; the edges of hubs are joined by broadcast. Up to ONE_TASK links
+of a corpus are joined in a single task instead, with the same result.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Repeated rows share a
 fingerprint. An empty table gives no rows. Other columns are ignored.
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialise, ship
+from ..runtime import discard, materialise, release, ship
 from .rows import keys, source
 
-LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK, SAMPLED, HUB, HUBS = 3, 3, 42, 512, 65_536, 2048, 8, 256, 10_000
+LINK_BITS, SHINGLE, SEED, LEAF, MOST_LEAVES, BLOCK, SAMPLED, HUB, HUBS, ONE_TASK = 3, 3, 42, 512, 65_536, 2048, 8, 10_000, 10_000, 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -201,20 +202,44 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _least(edges: DataFrame, hub: int) -> DataFrame:
-    """edges (u, v) with m, the least of u and its neighbours. Nodes of more than `hub` edges, 2 * HUBS at most, are joined
-    by broadcast, so that no key brings more edges into one task."""
+    """edges (u, v) with m, the least of u and its neighbours. Nodes of more than `hub` edges, HUBS at most, are joined by
+    broadcast, so that no key brings more edges into one task; with hub 0 there are none."""
+    if not hub:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     marked = edges.join(F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub"))), "u", "left")
     light = marked.where("hub is null").join(low.where(F.col("n") <= hub), "u").select("u", "v", "m")
     return light.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
 
 
+def _joined(frames):
+    """The least node reachable from each node but the roots, of a bounded number of edges."""
+    root: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist()):
+            a, b = least(u), least(v)
+            root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if least(x) != x]
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "root": pd.Series([least(x) for x in nodes], dtype="int64")})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges, root being the least node reachable, in a logarithmic number of rounds."""
+    """(node, root) for every node of the edges but the roots, root being the least node reachable. More than ONE_TASK edges
+    take a logarithmic number of rounds of star steps; fewer are joined in one task, whose size that bounds."""
     state = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
     n, seen = state.count(), None
-    while True:
-        hub = max(HUB, 2 * n // HUBS)
+    if n <= ONE_TASK:
+        found = materialise(state.coalesce(1).mapInPandas(_joined, "node long, root long"), "components")
+        discard(state)
+        return found
+    while n:
+        hub = max(HUB, 2 * n // HUBS) if n > HUB else 0  # a node has no more edges than there are
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large, hub).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -222,9 +247,11 @@ def components(edges: DataFrame) -> DataFrame:
         discard(state)
         state = after
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        release(state.sparkSession)
         if now == seen:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         n, seen = now[0], now
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

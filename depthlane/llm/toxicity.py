@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import release, ship
 from .rows import key, keys, source
 
 EXAMPLES, LONGEST_EXAMPLE, NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD, SCORED = 2000, 20_000, 15, 64, 4, 0.7, 10_000
@@ -66,7 +66,9 @@ class Model:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known words of a whole text and their weights, of length 1 together."""
-        return unit(self.word, self.weight, word_counts(text))
+        get = self.word.get
+        known = [(i, n) for w, n in word_counts(text).items() if (i := get(w)) is not None]
+        return unit(self.weight, *(np.array(known, dtype=np.int64).T if known else np.zeros((2, 0), np.int64)))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (ties: the lower index) and their cosines; those without a common word are none."""
@@ -125,13 +127,8 @@ def runs(first: np.ndarray, of: np.ndarray, factor: np.ndarray) -> tuple[np.ndar
     return np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()), np.repeat(factor, counts)
 
 
-def unit(word: dict[str, int], weight: np.ndarray, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the known words, in the order of counts, and their weights scaled to length 1; none of weight 0."""
-    get = word.get
-    known = [(i, n) for w, n in counts.items() if (i := get(w)) is not None]
-    if not known:
-        return np.zeros(0, np.int64), np.zeros(0)
-    ids, times = np.array(known, dtype=np.int64).T
+def unit(weight: np.ndarray, ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a weight above 0 among ids, and their weights in a text that holds them so many times, of length 1."""
     weights = (1 + np.log(times)) * weight[ids]
     ids, weights = ids[weights > 0], weights[weights > 0]
     return ids, weights / np.sqrt(weights @ weights) if len(ids) else weights
@@ -161,19 +158,20 @@ def fit(examples: list[tuple[int, str, int]], rates: tuple[float, float] = (1.0,
         copies.setdefault(text, []).append((doc_id, toxic))
     texts = sorted(copies)  # copies would be each other's neighbours
     label = np.array([sum(t for _, t in copies[x]) / len(copies[x]) for x in texts])
-    counts = [word_counts(t) for t in texts]
-    words = sorted(set().union(*counts))
-    word = {w: i for i, w in enumerate(words)}
-    n, n1 = len(texts), float(label.sum())
-    n0, on, on1 = n - n1, np.zeros(len(words)), np.zeros(len(words))
-    for own, y in zip(counts, label):
-        ids = np.fromiter((word[w] for w in own), np.int64, len(own))
+    word: dict[str, int] = {}
+    counts = []  # numbers only: the words of each text by themselves would take many times the driver's memory
+    for text in texts:
+        own = word_counts(text)
+        counts.append((np.array([word.setdefault(w, len(word)) for w in own], dtype=np.int64), np.fromiter(own.values(), np.int64, len(own))))
+    n, n1, words = len(texts), float(label.sum()), len(word)
+    n0, on, on1 = n - n1, np.zeros(words), np.zeros(words)
+    for (ids, _), y in zip(counts, label):
         on[ids] += 1
         on1[ids] += y
     other = n1 * n0 * on * (n - on)
-    association = np.divide((on1 * (n0 - (on - on1)) - (on - on1) * (n1 - on1)) ** 2, other, out=np.zeros(len(words)), where=other > 0)
+    association = np.divide((on1 * (n0 - (on - on1)) - (on - on1) * (n1 - on1)) ** 2, other, out=np.zeros(words), where=other > 0)
     weight = np.log(1 + n / np.maximum(on, 1)) * association
-    vectors = [unit(word, weight, c) for c in counts]
+    vectors = [unit(weight, *c) for c in counts]
     # examples with the same heaviest word share blocks, which keeps the bounds tight
     order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
     vectors, label = [vectors[i] for i in order], label[order]
@@ -185,7 +183,7 @@ def fit(examples: list[tuple[int, str, int]], rates: tuple[float, float] = (1.0,
     by = np.argsort(place, kind="stable")
     cells, first = np.unique(place[by], return_index=True)
     model = Model(
-        word, weight, np.searchsorted(cells, np.arange(len(words) + 1) * n_blocks), cells % n_blocks, np.maximum.reduceat(share[by], first) if len(first) else np.zeros(0),
+        word, weight, np.searchsorted(cells, np.arange(words + 1) * n_blocks), cells % n_blocks, np.maximum.reduceat(share[by], first) if len(first) else np.zeros(0),
         np.append(first, len(by)), example[by], share[by], label, np.array([min(d for d, _ in copies[texts[i]]) for i in order], dtype=np.int64),
     )
     rate = label * rates[1] + (1 - label) * rates[0]
@@ -213,6 +211,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> tuple[list[tuple[i
     # at most 2 * EXAMPLES rows, whatever the number of rows with one doc_id
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = [(r["doc_id"], r["text"], r["toxic"]) for r in found.collect()]
+    release(documents.sparkSession)
     n = Counter(r[2] for r in rows)
     return rows, tuple(total.get(k, 0) / n[k] if n[k] else 1.0 for k in (0, 1))
 
