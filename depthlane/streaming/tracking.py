@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Config
-from ..operators.tracks import EMITTED, State, Track, emitted, frames_of, step
+from ..operators.tracks import EMITTED, State, Track, advance, emitted, frames_of
 
 
 def track_stream(candidates: DataFrame, config: Config, idle_ms: int | None = None) -> DataFrame:
     """Emitted tracks per camera and frame. A frame must arrive within one micro-batch; frames that come late are dropped.
 
-    State holds living tracks only (they expire by misses), one row for each camera. With idle_ms a camera that is idle for
+    A frame without candidates counts as missed by all tracks once a later frame, or a row without observation_id, tells of
+    it. State holds living tracks only (they expire by misses), one row for each camera. With idle_ms a camera that is idle for
     so long is forgotten; Spark then runs batches without input all the time to look for timeouts, so give such a query a
     trigger interval.
     """
@@ -34,7 +35,8 @@ def track_stream(candidates: DataFrame, config: Config, idle_ms: int | None = No
             state.tracks = [Track(**(t | {"box": tuple(t["box"])})) for t in json.loads(text)]
         out = []
         for frame, own in frames_of(pd.concat(list(batches))):
-            out += emitted(key[0], frame, step(state, frame, own, config))
+            for f, tracks in advance(state, frame, own, config):
+                out += emitted(key[0], f, tracks)
         held.update((json.dumps([asdict(t) for t in state.tracks]), state.next_id, state.last_frame))
         if idle_ms is not None:
             held.setTimeoutDuration(idle_ms)

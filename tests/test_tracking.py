@@ -95,7 +95,7 @@ def test_metrics_csv_and_names(spark, tmp_path):
     assert len(METRICS) == 32
     write_metrics(spark.createDataFrame([(1, 2)], "frame_index long, candidate_count long"), str(tmp_path / "m"))
     back = spark.read.csv(str(tmp_path / "m"), header=True)
-    assert back.columns == METRICS and back.first()["candidate_count"] == "2"
+    assert back.columns == METRICS and back.first()["candidate_count"] == "2" and back.first()["frame_ms"] is None
     assert companion_csv("a/b.avi") == "a/b.csv" and safe_name("a b/c") == "a_b_c"
 
 
@@ -113,3 +113,87 @@ def test_replay_source(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("frames").count() == 3
+
+
+def brute_tracker(candidates, frames, config):
+    """The tracker by its rules, pair by pair, on every frame from the first to the last: {frame: [(id, hits, misses, box, area, depth)]}."""
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(w, 0) * max(h, 0)
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    tracks, fresh, out, weight = [], 1, {}, config.track_smooth_percent / 100
+    mix = lambda old, new: int(old * weight + new * (1 - weight) + 0.5)
+    for frame in frames:
+        own, pairs = candidates.get(frame, []), []
+        for t in tracks:
+            for k, (box, area, depth) in enumerate(own):
+                ratio = min(t["area"], area) / max(t["area"], area)
+                away = np.hypot((t["box"][0] + t["box"][2] - box[0] - box[2]) / 2, (t["box"][1] + t["box"][3] - box[1] - box[3]) / 2)
+                over, deep = iou(t["box"], box), abs(t["depth"] - depth)
+                if deep <= config.track_depth_gap_mm and ratio >= 0.15 and (over >= config.track_iou_percent / 100 or away <= config.track_center_gap):
+                    pairs.append((4 * over + 2 * max(0, 1 - away / config.track_center_gap) + 1 - deep / config.track_depth_gap_mm + ratio, t, k))
+        free, used = [t["id"] for t in tracks], set()
+        for _, t, k in sorted(pairs, key=lambda p: (-p[0], p[1]["id"], p[2])):
+            if t["id"] in free and k not in used:
+                free.remove(t["id"]), used.add(k)
+                box, area, depth = own[k]
+                old, new = [((b[0] + b[2]) // 2, (b[1] + b[3]) // 2) for b in (t["box"], box)]
+                dx, dy = mix(old[0], new[0]) - new[0], mix(old[1], new[1]) - new[1]
+                t |= {"box": (box[0] + dx, box[1] + dy, box[2] + dx, box[3] + dy), "area": mix(t["area"], area), "depth": mix(t["depth"], depth), "misses": 0}
+                t["hits"] = min(t["hits"] + 1, config.track_confirm + config.track_miss + 1)
+        for t in tracks:
+            t["misses"] += t["id"] in free
+        for k, (box, area, depth) in enumerate(own):
+            if k not in used:
+                tracks.append({"id": fresh, "box": box, "area": area, "depth": depth, "hits": 1, "misses": 0})
+                fresh += 1
+        tracks = [t for t in tracks if t["misses"] <= config.track_miss]
+        out[frame] = [(t["id"], t["hits"], t["misses"], t["box"], t["area"], t["depth"]) for t in tracks if t["hits"] >= config.track_confirm][: config.max_regions]
+    return out
+
+
+def test_batch_tracking_against_brute_force(spark):
+    """Cameras with gaps of every length, on more than one Arrow batch, in shuffled order."""
+    from depthlane.runtime import ship
+
+    ship(spark)
+    rng, config, out = np.random.default_rng(3), Config(track_miss=2), []
+    for camera in range(3):
+        for frame in sorted(rng.choice(60, 35, replace=False).tolist()):
+            for k in range(int(rng.integers(1, 6))):
+                x, y = (int(v) for v in rng.integers(0, 120, 2))
+                out.append((camera, frame, frame * 100 + k, x, y, x + 40, y + 40, int(rng.integers(500, 2000)), int(rng.integers(900, 1400))))
+    rows_ = pd.DataFrame(out, columns="camera_id frame_index observation_id roi_x0 roi_y0 roi_x1 roi_y1 area depth_mm".split())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = T.track(spark.createDataFrame(rows_.sample(frac=1, random_state=1)).repartition(3), config).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for camera, own in rows_.groupby("camera_id"):
+        frames = {f: c for f, c in T.frames_of(own)}
+        for frame, tracks in brute_tracker(frames, range(min(frames), max(frames) + 1), config).items():
+            want |= {(camera, frame, i, hits, misses, *box, area, depth) for i, hits, misses, box, area, depth in tracks}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_frames_without_candidates_are_misses():
+    state, config, seen = T.State(), Config(), {}
+    for frame, own in [(0, 1), (1, 1), (2, 1), (20, 1)]:
+        seen |= {f: [(t.track_id, t.misses) for t in tracks] for f, tracks in T.advance(state, frame, [(BOX, 400, 1000)] * own, config)}
+    assert seen == {0: [], 1: [], 2: [(1, 0)], 3: [(1, 1)], 4: [(1, 2)], 5: [(1, 3)], 6: [(1, 4)], 7: [(1, 5)], 8: [], 20: []}
+    assert state.tracks[0].track_id == 2
+
+
+def test_without_history_candidates_come_out_as_they_are():
+    state, config = T.State(), Config(history=False)
+    assert [(t.box, t.area) for t in T.step(state, 0, [(BOX, 400, 1000), (BOX, 300, 900)], config)] == [(BOX, 400), (BOX, 300)]
+    assert state.tracks == []
+
+
+def test_match_pairs_without_an_overlap_gate(spark):
+    one = spark.createDataFrame([(1, 1, 0, 0, 9, 9, 100, 1000)], "frame_index long, track_id long, roi_x0 long, roi_y0 long, roi_x1 long, roi_y1 long, area long, depth_mm long")
+    far = spark.createDataFrame([(2, 7, 5000, 0, 5009, 9, 100, 1299), (2, 8, 0, 0, 9, 9, 100, 1301)], one.schema)
+    assert [r["candidate"] for r in T.match_pairs(one, far, Config(track_iou_percent=0)).collect()] == [7]
+    assert T.match_pairs(one, far, Config()).count() == 0
