@@ -80,12 +80,16 @@ def stability_score(presence: Col, mean_iou: Col, radius: Col, area_range: Col,
     return 0.35 * c(presence) + 25.0 * c(mean_iou) + 0.15 * part(4.0 * c(radius)) + 0.15 * part(c(area_range)) + 0.10 * part(c(depth_range) / 3.0)
 
 
+def match_value(iou: Column, gap: Column, depth_gap: Column, area: Column, *, max_depth: int, max_gap: int) -> Column:
+    near = F.greatest(F.lit(0.0), 1.0 - gap / max(1, max_gap))
+    deep = F.greatest(F.lit(0.0), 1.0 - depth_gap / float(max(1, max_depth)))
+    return iou * 4.0 + near * 2.0 + deep + area
+
+
 def match_score(iou: Column, gap: Column, depth_gap: Column, area: Column, *, max_depth: int, max_gap: int, min_iou: float) -> Column:
     """Null where a gate fails: depth, area, or overlap and distance together."""
     ok = (depth_gap <= max_depth) & (area >= 0.15) & ~((iou < min_iou) & (gap > max_gap))
-    near = F.greatest(F.lit(0.0), 1.0 - gap / max(1, max_gap))
-    deep = F.greatest(F.lit(0.0), 1.0 - depth_gap / float(max(1, max_depth)))
-    return F.when(ok, iou * 4.0 + near * 2.0 + deep + area)
+    return F.when(ok, match_value(iou, gap, depth_gap, area, max_depth=max_depth, max_gap=max_gap))
 
 
 def predicted_mm(cue: Col, intercept: Col, slope: Col, low: int, high: int) -> Column:
