@@ -123,11 +123,11 @@ def _encode(json_path: str, ranks_path: str | None, end_id: int, length: int, gr
         end = np.asarray([end_id], dtype="<u4").tobytes()
         pid, chunks, at = TaskContext.get().partitionId(), 0, Counter()
         for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            rows: list[tuple] = []
+            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
                 data = (cache.encode(text) if isinstance(text, str) else b"") + end
                 n, view = len(data) // 4, memoryview(data)
-                crcs = [zlib.crc32(view[4 * a : 4 * (a + length)]) for a in range(0, n - length + 1, length)]
+                crcs = [zlib.crc32(view[4 * a : 4 * (a + length)]) for a in range(0, n - length + 1, length)] if n >= length else []
                 rem = n % length
                 tail = view[4 * (n - rem) :]
                 cls = -(-rem // grain)

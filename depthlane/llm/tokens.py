@@ -16,7 +16,7 @@ from itertools import accumulate
 
 import numpy as np
 
-#: Entries a worker keeps; beyond them the cache starts anew, so that its memory is bounded.
+#: Entries a worker keeps (of ids, twice as many); beyond them the cache starts anew, so that its memory is bounded.
 CACHE_ENTRIES = 300_000
 _RUN = re.compile(r"\s\s|[\x1c-\x1f\x85]|<\|")
 
@@ -49,19 +49,23 @@ def _sized(path: str):
 
 
 class SegmentIds(dict):
-    """Segment text -> its ids as little-endian unsigned 32-bit numbers."""
+    """Segment text -> its ids as little-endian unsigned 32-bit numbers. Two generations of entries are kept."""
 
     def __init__(self, json_path: str, ranks_path: str | None = None):
         super().__init__()
         self.json_path, self.ranks_path = json_path, ranks_path
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
-        if self.ranks_path:  # the same vocabulary as ranks: far faster on single segments
-            ids = _ranked(self.ranks_path).encode_ordinary(segment)
-        else:
-            ids = tokenizer(self.json_path).encode(segment, add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
+        out = self.older.get(segment)
+        if out is None:
+            if self.ranks_path:  # the same vocabulary as ranks: far faster on single segments
+                ids = _ranked(self.ranks_path).encode_ordinary(segment)
+            else:
+                ids = tokenizer(self.json_path).encode(segment, add_special_tokens=False).ids
+            out = np.asarray(ids, dtype="<u4").tobytes()
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)  # what is still in use comes back from here
             self.clear()
         self[segment] = out
         return out
