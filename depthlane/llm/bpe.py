@@ -7,8 +7,9 @@ pairs of a batch of words are tested at once against a sorted table of known ver
 once and added. Only words with a failing token or pair are merged exactly.
 
 Texts are cut at spaces, which no word of the model's pattern crosses; results per segment are kept in a bounded cache.
-Segments beyond ASCII are normalised and split into words by the tokenizers library itself, whose Unicode tables are of
-another version than Python's; ids are found by this module throughout. Null texts count as empty. An empty table gives no rows. Other columns are ignored.
+Segments with characters from SETTLED on are normalised and split into words by the tokenizers library itself, whose Unicode
+tables are of another version than Python's; below it (Latin, Greek, Cyrillic and their marks) both agree. Ids are found by
+this module throughout. Null texts count as empty. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +30,10 @@ from ..runtime import ship
 from .rows import keys, source
 from .tokens import tokenizer
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000  # of each of two generations: what is still in use when one is full comes back from the older
+#: The first code point whose properties, case or composition depend on the version of Unicode.
+SETTLED = 0x530
+_BEYOND = regex.compile(f"[^\\x00-{chr(SETTLED - 1)}]")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -56,7 +61,8 @@ class WordBpe:
         for token in self.vocab:
             n = len(token.removesuffix(self.end))
             self.reach[token[:2]] = max(self.reach.get(token[:2], 1), n)
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V1 | regex.ASCII)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern.replace("\\s", "\\t-\\r \\x85\\xa0"), regex.V1)  # white space below SETTLED
         self.library = tokenizer(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = dict(enumerate(byte_symbols()))
@@ -66,6 +72,8 @@ class WordBpe:
         self.pairs, self.verdicts = np.zeros(0, np.int64), np.zeros(0, bool)
         self.tried = self.failed = 0
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.known_older: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact merging: the pair of least rank first, the leftmost of equals."""
@@ -171,8 +179,10 @@ class WordBpe:
         for part in self.cut.split(segment) if self.cut else [segment]:
             if part in self.added:
                 out.append(self.added[part])
-            elif part.isascii():
-                out += [word.translate(self.symbols) for word in self.words.findall(part.lower())]
+            elif not _BEYOND.search(part):
+                part = part if part.isascii() else unicodedata.normalize("NFC", part)
+                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()  # by character: no final-sigma rule
+                out += [word.encode().decode("latin-1").translate(self.symbols) for word in self.words.findall(part)]
             else:
                 out += [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
@@ -180,23 +190,28 @@ class WordBpe:
     def learn(self, segments: list[str]) -> None:
         """Put the results of new segments into the cache: token count, decimal ids and decoded text."""
         parts = [self.pieces(s) for s in segments]
-        new = list({p for ps in parts for p in ps if isinstance(p, str) and p not in self.known})
+        new = {p for ps in parts for p in ps if isinstance(p, str) and p not in self.known}
+        back = new & self.known_older.keys()
+        self.known.update((p, self.known_older[p]) for p in back)
+        new = list(new - back)
         for word, ids in zip(new, self.encode_words(new)):
             self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
         for segment, ps in zip(segments, parts):
             found = [self.known[p] if isinstance(p, str) else (1, str(p), self.tokens[p]) for p in ps]
             self.cache[segment] = found[0] if len(found) == 1 else (sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+            self.known_older, self.known = self.known, {}
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, decimal ids joined by spaces, decoded text) of each text."""
         cut = [t.split(" ") for t in texts]
         new = {s for segments in cut for s in segments if s not in self.cache}
         if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-            new = {s for segments in cut for s in segments}
-        self.learn(list(new))
+            self.older, self.cache = self.cache, {}
+            new = set().union(*cut)
+        back = new & self.older.keys()
+        self.cache.update((s, self.older[s]) for s in back)
+        self.learn(list(new - back))
         out = []
         for segments in cut:
             found = [x for x in map(self.cache.__getitem__, segments) if x[0]]
