@@ -12,10 +12,13 @@ from ..functions import scalars as S
 from ..operators import calibration as C
 from ..operators import frames as N
 from ..operators import groups as U
+from ..operators import loop as L
 from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import tracks as T
+from ..runtime import materialise
 from ..sources import fixtures as X
+from ..sources import scenes
 from ..sources.fixtures import F1_SQL, F2_SQL, F3_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +474,35 @@ def _(spark, sf_dir):
 @query("point_clusters")
 def _(spark, sf_dir):
     return G.clusters(_frames(spark, sf_dir), SMALL)
+
+
+def _loop(spark, sf_dir):
+    """Frames, what was seen in each, and what the tracker holds; both are read more than once, so they are written."""
+    frames = scenes.frames(spark, sf_dir)
+    analysis = materialise(L.analysed(frames, Config()), "frames-analysed")
+    return frames, analysis, materialise(L.stable_contours(analysis, Config()), "stable-contours")
+
+
+@query("acceptance_metrics")
+def _(spark, sf_dir):
+    frames, analysis, stable = _loop(spark, sf_dir)
+    return L.acceptance(analysis, stable, L.cached_planes(frames, stable, Config()))
+
+
+@query("loop_candidates")
+def _(spark, sf_dir):
+    c = L.analysed(scenes.frames(spark, sf_dir), Config()).select("camera_id", "frame_index", F.explode("candidates").alias("c"))
+    return c.select("camera_id", "frame_index", "c.observation_id", "c.cluster", *[F.col("c.box")[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))], "c.area", "c.depth_mm", "c.anchors")
+
+
+@query("stable_contour_report")
+def _(spark, sf_dir):
+    _, _, stable = _loop(spark, sf_dir)
+    r = L.contour_report(stable, Config(), scenes.LENGTH)
+    return r.withColumns({c: F.round(c, 6) for c in ("presence", "mean_iou", "radius", "area_range", "score")})
+
+
+@query("anchor_report")
+def _(spark, sf_dir):
+    r = L.anchor_report(L.analysed(scenes.frames(spark, sf_dir), Config()))
+    return r.withColumn("depth_mean_mm", F.round("depth_mean_mm", 6))
