@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -197,3 +198,37 @@ def test_match_pairs_without_an_overlap_gate(spark):
     far = spark.createDataFrame([(2, 7, 5000, 0, 5009, 9, 100, 1299), (2, 8, 0, 0, 9, 9, 100, 1301)], one.schema)
     assert [r["candidate"] for r in T.match_pairs(one, far, Config(track_iou_percent=0)).collect()] == [7]
     assert T.match_pairs(one, far, Config()).count() == 0
+
+
+def dense(tracks, candidates, config):
+    """The matching by a sorted list of all pairs."""
+    rows = lambda v: np.array([(*b, area, depth, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for b, area, depth in v], float)
+    found = T.scores(rows([(t.box, t.area, t.depth) for t in tracks]), rows(candidates), config)
+    t_at, c_at = np.nonzero(found >= 0)
+    out, own, other = [], set(), set()
+    for i in np.lexsort((c_at, t_at, -found[t_at, c_at])):
+        if t_at[i] not in own and c_at[i] not in other:
+            own.add(t_at[i]), other.add(c_at[i]), out.append((int(t_at[i]), int(c_at[i])))
+    return out
+
+
+def test_matching_against_all_pairs():
+    """Copies, ties, and more of either side than are held of a row's best."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        wide, n, m = int(rng.choice([2, 30, 400])), int(rng.integers(1, 150)), int(rng.integers(1, 150))
+        one = lambda: ((x := int(rng.integers(0, wide)), 0, x + 20, 20), int(rng.integers(300, 302)), 1000)  # noqa: E731, B023
+        tracks, candidates = [T.Track(k, *one()) for k in range(n)], [one() for _ in range(m)]
+        config = Config(track_center_gap=int(rng.choice([5, 200])))
+        assert T.assigned(tracks, candidates, config) == dense(tracks, candidates, config)
+
+
+def test_memory_of_the_matching_does_not_grow_with_pairs():
+    rng = np.random.default_rng(5)
+    one = lambda: ((x := int(rng.integers(0, 4000)), y := int(rng.integers(0, 400)), x + 20, y + 20), int(rng.integers(300, 900)), int(rng.integers(900, 1400)))
+    tracks, candidates = [T.Track(k, *one()) for k in range(2500)], [one() for _ in range(2500)]
+    tracemalloc.start()
+    T.assigned(tracks, candidates, Config(track_center_gap=200, track_depth_gap_mm=600))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2500 * 2500 * 8  # one matrix of scores
