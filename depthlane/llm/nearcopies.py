@@ -111,6 +111,16 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
+def _sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with hit: true where keys hold their (id, at), and for about one in sixteen others. Only one bit for each of 16 to 32
+    places a key is broadcast, so that whole texts need no shuffle to find out which of them are asked for."""
+    size = 1 << max(12, (16 * keys.count()).bit_length())
+    place = F.pmod(F.xxhash64("id", "at"), F.lit(size))
+    bits = keys.select(place.alias("_place")).groupBy(F.expr("_place div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_place % 64 as int)))").alias("_bits"))
+    marked = rows.withColumn("_place", place).withColumn("_word", F.expr("_place div 64")).join(F.broadcast(bits), "_word", "left")
+    return marked.withColumn("hit", F.expr("_bits is not null and shiftright(_bits, cast(_place % 64 as int)) & 1L = 1")).drop("_place", "_word", "_bits")
+
+
 def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that are similar by their whole sets."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"), F.size("shingles").alias(f"{name}_n"))
@@ -150,7 +160,8 @@ def representatives(documents: DataFrame) -> DataFrame:
     pairs = materialise(_candidates(nodes), "near-pairs")
     met = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
     members = materialise(nodes.join(met, F.col("node") == F.col("u"), "left_semi").select("node", F.col("least.doc_id").cast("string").alias("id"), F.col("least.t").alias("at")), "near-members")
-    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["id"]) & (rows["t"] == members["at"])).select("node", "text")
+    asked = _sieved(rows.select(F.col("doc_id").alias("id"), F.col("t").alias("at"), "text"), members).where("hit").select(F.col("id").alias("doc_id"), F.col("at").alias("t"), "text")
+    texts = asked.join(members, asked["doc_id"].eqNullSafe(members["id"]) & (asked["t"] == members["at"])).select("node", "text")
     sets = materialise(texts.mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
     links_ = materialise(_compared(sets, pairs), "near-links")
     release(documents.sparkSession)
@@ -160,7 +171,12 @@ def representatives(documents: DataFrame) -> DataFrame:
     roots = roots.unionByName(tops.join(labels.select("node"), "node", "left_anti"))  # nodes that were labels of their own
 
     kept = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    kept = kept.where("not least.none").select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("at")).distinct()
-    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("at"))
-    stay = whole.where("id is not null").join(kept, ["id", "at"], "left_semi").groupBy("id", "at").agg(F.min_by("row", "row").alias("row"))
-    return stay.select("row.*").unionByName(documents.where(F.col("doc_id").isNull()))
+    kept = materialise(kept.where("not least.none").select(F.col("least.doc_id").cast("long").alias("id"), F.col("least.t").alias("at")).distinct(), "near-kept")
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("at")).where("id is not null")
+    # most rows stay and are alone with their key: those need no shuffle. The others meet kept in an inner join, as Spark would
+    # push a semi join below the sieve
+    single = whole.groupBy("id", "at").agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), ["id", "at"], "left")
+    doubtful = materialise(single.where("kept is null or n > 1").select("id", "at"), "near-doubtful")
+    sieved = _sieved(whole, doubtful)
+    stay = sieved.where("hit").join(kept, ["id", "at"]).groupBy("id", "at").agg(F.min_by("row", "row").alias("row"))
+    return sieved.where("not hit").select("row.*").unionByName(stay.select("row.*")).unionByName(documents.where(F.col("doc_id").isNull()))

@@ -78,3 +78,20 @@ def test_stage_on_the_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.where(F.col("doc_id").isNotNull()).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == set(brute(texts).values())
+
+
+def test_sieve_holds_all_keys_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 1000 = 7, null, id) as id", "id * 3 as at", "id as n")
+    keys = rows.where("n % 20 = 7").select("id", "at")
+    hits = {r["n"] for r in nearcopies._sieved(rows, keys).where("hit").collect()}
+    assert {n for n in range(20_000) if n % 20 == 7} <= hits and len(hits) < 3000
+    assert nearcopies._sieved(rows, keys.limit(0)).where("hit").count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """The sieve stands between the documents and the join; repeated and dropped rows get the exact way."""
+    rows = [(k, f"{k} " + " ".join(f"w{k}x{j}" for j in range(30)), "y" * 50) for k in range(400)] + [(500, "3 " + " ".join(f"w3x{j}" for j in range(30)), "z"), (7, rows_text := "again " * 9, "z"), (7, rows_text, "z")]
+    out = nearcopies.representatives(spark.createDataFrame(rows, "doc_id long, text string, more string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted([*range(400), 7])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "shiftright" in plan  # a semi join would be pushed below the sieve
