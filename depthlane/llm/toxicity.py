@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import release, ship
+from ..runtime import release, ship, trim
 from .rows import key, keys, source
 
 EXAMPLES, LONGEST_EXAMPLE, NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD, SCORED = 2000, 20_000, 15, 64, 4, 0.7, 10_000
@@ -235,7 +235,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, and the neighbours that voted with their cosines."""
     spark = documents.sparkSession
     ship(spark)
-    return source(documents).mapInPandas(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
+    own = spark.sparkContext.broadcast(model)
+    trim(spark)
+    return source(documents).mapInPandas(_score(own), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
 
 
 def _keep(model):
@@ -251,4 +253,6 @@ def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of documents, all columns, whose score is below the threshold."""
     spark = documents.sparkSession
     ship(spark)
-    return documents.mapInArrow(_keep(spark.sparkContext.broadcast(model)), documents.schema)
+    own = spark.sparkContext.broadcast(model)
+    trim(spark)  # fitting has freed far more than the model takes
+    return documents.mapInArrow(_keep(own), documents.schema)
