@@ -200,6 +200,57 @@ def test_match_pairs_without_an_overlap_gate(spark):
     assert T.match_pairs(one, far, Config()).count() == 0
 
 
+MATCHED = "frame_index long, track_id long, roi_x0 long, roi_y0 long, roi_x1 long, roi_y1 long, area long, depth_mm long"
+
+
+def shuffled(df):
+    """Rows that a collected plan without adaptive execution has put through its exchanges."""
+    def found(plan):
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+        return own + sum(found(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    return found(df._jdf.queryExecution().executedPlan())
+
+
+def test_match_pairs_shuffles_rows_and_not_cells(spark):
+    """Large boxes touch some 300 image cells each; a row goes to its depth block, a track to those beside it too."""
+    n, key = 40, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows_ = [spark.createDataFrame([(f, k, k, k, 4000 + k, 4000 + k, 1000 + k, 1000) for k in range(n)], MATCHED) for f in (1, 2)]
+        pairs = T.match_pairs(*rows_, Config())
+        assert len(pairs.collect()) == n * n
+        assert 2 * n <= shuffled(pairs) <= 4 * n
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_match_pairs_against_brute_force(spark):
+    """Copies beyond a list, unnamed tracks, rows without a depth, and boxes of every size on either side of the origin."""
+    rng, out = np.random.default_rng(11), []
+    for frame in (0, 1, 2, 4):
+        for k in range(150):
+            side = rng.choice([5, 60, 700], 2)
+            x, y = rng.integers(-400, 400, 2)
+            out.append((frame, k, int(x), int(y), int(x + side[0]), int(y + side[1]), int(rng.integers(0, 3000)), int(rng.integers(900, 1900))))
+        out += [(frame, None, 0, 0, 50, 50, 700, 1000), (frame, 900, 0, 0, 50, 50, 700, None), (frame, 901, 0, 0, 50, 50, 1, None)]
+        out += [(frame, 1000 + k, 3, 3, 50, 50, 700, 1100) for k in range(T.COPIES + 9)]
+    table = spark.createDataFrame(out, MATCHED)
+    order = lambda r: tuple((v is None, v or 0) for v in r[:3])
+    for config in (Config(), Config(track_iou_percent=0), Config(track_iou_percent=1), Config(track_iou_percent=60, track_center_gap=5), Config(track_depth_gap_mm=1)):
+        want = []
+        for frame in (0, 1):
+            t, c = ([r for r in out if r[0] == f and r[7] is not None] for f in (frame, frame + 1))
+            values = lambda rows: np.array([(*r[2:6], r[6], r[7], (r[2] + r[4]) / 2, (r[3] + r[5]) / 2) for r in rows], float)
+            found = T.scores(values(t), values(c), config)
+            want += [(frame + 1, t[i][1], c[j][1], found[i, j]) for i, j in zip(*np.nonzero(found >= 0))]
+        got = sorted(((r.frame_index, r.track, r.candidate, r.score) for r in T.match_pairs(table, table, config, digits=9).collect()), key=order)
+        want = sorted(want, key=order)
+        assert len(want) > 100 and [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-8)
+
+
 def dense(tracks, candidates, config):
     """The matching by a sorted list of all pairs."""
     rows = lambda v: np.array([(*b, area, depth, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for b, area, depth in v], float)
